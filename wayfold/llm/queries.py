@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, mixing
 from .common import table
+from .fingerprint import edited_fingerprints
+from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_components
+from .quality import quality_scores
+from .spiece import encode_decode
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +20,44 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one full of control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    spoof = "</s>[INST] ok [/INST]"
+    rows = rows.union(spark.createDataFrame([(-7, 0, "user", spoof), (-7, 1, "assistant", spoof)], rows.schema))
+    return chat.read_back(chat.format_chats(chat.records_of_turns(rows), "conv_id", "record"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels that are not held out."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document's whole text, and what decoding gives back."""
+    return encode_decode(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources, weighing 1, 2, 3, takes of each document."""
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_chat_format": op2_chat_format,
+    "op3_quality": op3_quality,
+    "op4_fingerprint": op4_fingerprint,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": chat.ORACLE_SQL,
+    "op10_mix_sources": mixing.ORACLE_SQL,
+}
