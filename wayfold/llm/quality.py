@@ -184,12 +184,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, r
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The documents whose score reaches ``threshold``, in their own columns."""
-    model = fit_quality(docs, labels, rows)
-    columns = [f"`{c}`" for c in docs.columns]
-    wide = docs.select(F.struct(*columns).alias("row"), "text")
-    return wide.select("row", _score_udf(model)("text").alias("score")).where(F.col("score") >= threshold).select("row.*")
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = TRAIN_ROWS, taught_by: DataFrame | None = None) -> DataFrame:
+    """The documents whose score reaches ``threshold``, in their own columns.
+
+    ``taught_by``: documents that the labels speak of, if not ``docs``.
+    """
+    model = fit_quality(docs if taught_by is None else taught_by, labels, rows)
+    return docs.where(_score_udf(model)(F.col("text")) >= threshold)
 
 
 def _score_udf(model: Model):

@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, mixing
+from . import chat, mixing, mjpeg, warc
 from .common import table
 from .fingerprint import edited_fingerprints
+from .linedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_components
 from .quality import quality_scores
 from .spiece import encode_decode
+from .sstable import index_of_tokens
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +41,33 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, crawled twice: what each record of either crawl resolves to."""
+    return warc.pages_revisited(table(spark, sf_dir, "pages"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document's whole text, and what decoding gives back."""
     return encode_decode(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as sorted shards and read back."""
+    return index_of_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_media_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as motion-JPEG, read back, with shot features."""
+    return mjpeg.read_back(mjpeg.store(table(spark, sf_dir, "documents")))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents without later copies of line runs of 50 words or more."""
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return kept.select("doc_id", "n_lines", "n_removed", F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources, weighing 1, 2, 3, takes of each document."""
     return mix_sources(table(spark, sf_dir, "documents"))
@@ -53,11 +78,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_quality": op3_quality,
     "op4_fingerprint": op4_fingerprint,
+    "op5_warc_revisits": op5_warc_revisits,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_token_shards": op7_token_shards,
+    "op8_media_mjpeg": op8_media_mjpeg,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": chat.ORACLE_SQL,
+    "op5_warc_revisits": warc.ORACLE_SQL,
     "op10_mix_sources": mixing.ORACLE_SQL,
 }
