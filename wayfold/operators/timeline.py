@@ -34,6 +34,11 @@ def habits(histograms: DataFrame, probabilities: DataFrame) -> DataFrame:
     return durations.join(moves, "uid", "full")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def sample_histogram(bars: Column, u: Column, v: Column) -> Column:
     """A bin by its share (draw ``u``), then a point in it (draw ``v``)."""
     total = F.aggregate(bars, F.lit(0).cast("long"), lambda a, b: a + b["n"])
@@ -97,10 +102,12 @@ def synthetic_days(days: DataFrame, known: DataFrame | None = None, population:
     d = d.withColumn("pst", F.when(leads, 0).otherwise(F.greatest(F.lit(0), F.least(F.col("a.st") + move("start"), F.lit(DAY_S)))))
     d = d.withColumn("pet", F.least(F.col("pst") + F.greatest(F.lit(1), length + move("length")), F.lit(DAY_S)).cast("int")).withColumn("pst", F.col("pst").cast("int"))
 
+    # Draws are made once for each stay; inside the folds values are bound once, not repeated.
+    drawn = lambda items: F.transform(items, lambda s: F.struct(s["act"].alias("act"), s["st"].alias("st"), s["et"].alias("et"), u(s["stay_seq"], "keep").alias("keep"), u(s["stay_seq"], "move").alias("move"), u(s["stay_seq"], "bin").alias("bin"), u(s["stay_seq"], "in").alias("in")))
+
     def chosen(state, s, keep_midnight: bool):
-        own = F.when((r >= 1) & F.coalesce(F.map_contains_key("pool", state["prev"]), F.lit(False)), sample_category(F.col("pool")[state["prev"]], u(s["stay_seq"], "move")))
-        own = own.when(F.coalesce(F.map_contains_key("moves", state["prev"]), F.lit(False)), sample_category(F.col("moves")[state["prev"]], u(s["stay_seq"], "move"))).otherwise(s["act"])
-        kept = F.when(u(s["stay_seq"], "keep") < 1 - r, s["act"]).otherwise(own)
+        options = F.coalesce(F.when(r >= 1, F.try_element_at("pool", state["prev"])), F.try_element_at("moves", state["prev"]))
+        kept = F.when(s["keep"] < 1 - r, s["act"]).otherwise(F.coalesce(let(options, lambda x: F.when(x.isNotNull(), sample_category(x, s["move"]))), s["act"]))
         return F.when(state["t"] == 0, F.when(s["st"] == 0, s["act"]).otherwise("home")).otherwise(kept) if keep_midnight else kept
 
     def stay(act, st, et):
@@ -108,14 +115,15 @@ def synthetic_days(days: DataFrame, known: DataFrame | None = None, population:
 
     def fold(limit: Column, keep_midnight: bool):
         def step(state, s):
-            act = chosen(state, s, keep_midnight)
             own = s["et"] - s["st"]
-            sampled = F.coalesce(sample_histogram(F.col("durations")[act], u(s["stay_seq"], "bin"), u(s["stay_seq"], "in")), own.cast("double"))
-            end = F.least(state["t"] + ((1 - r) * own + r * sampled).cast("int"), limit)
-            done = state["t"] >= limit
-            adds = ~done & (end > state["t"])
-            out = F.when(adds, F.concat(state["out"], F.array(stay(act, state["t"], end)))).otherwise(state["out"])
-            return F.struct(F.when(done, state["t"]).otherwise(end).cast("int").alias("t"), F.when(adds, act).otherwise(state["prev"]).alias("prev"), out.alias("out"))
+            length = lambda act: F.coalesce(let(F.try_element_at("durations", act), lambda x: F.when(x.isNotNull(), sample_histogram(x, s["bin"], s["in"]))), own.cast("double"))
+            made = lambda act: let(F.struct(act.alias("act"), F.least(state["t"] + ((1 - r) * own + r * F.when(r > 0, length(act)).otherwise(0.0)).cast("int"), limit).alias("end")), lambda x: taken(state, x))
+            return F.when(state["t"] >= limit, state).otherwise(let(chosen(state, s, keep_midnight), made))
+
+        def taken(state, x):
+            adds = x["end"] > state["t"]
+            out = F.when(adds, F.concat(state["out"], F.array(stay(x["act"], state["t"], x["end"])))).otherwise(state["out"])
+            return F.struct(x["end"].cast("int").alias("t"), F.when(adds, x["act"]).otherwise(state["prev"]).alias("prev"), out.alias("out"))
 
         return step
 
@@ -127,37 +135,37 @@ def synthetic_days(days: DataFrame, known: DataFrame | None = None, population:
     before = F.filter("stays", lambda s: s["stay_seq"] < F.col("anchor_seq"))
     after = F.filter("stays", lambda s: s["stay_seq"] > F.col("anchor_seq"))
     none = F.array().cast(f"array<{_STAY}>")
-    d = d.withColumn("b", F.aggregate(before, state(first, F.lit("home"), lead_in), fold(F.col("pst"), True))["out"])
-    d = d.withColumn("c", F.aggregate(after, state(F.col("pet"), F.col("a.act"), none), fold(F.lit(DAY_S), False))["out"])
-    return d.select("uid", "day_date", "r", _stretched().alias("stays"))
+    d = d.withColumn("b", F.aggregate(drawn(before), state(first, F.lit("home"), lead_in), fold(F.col("pst"), True))["out"])
+    d = d.withColumn("c", F.aggregate(drawn(after), state(F.col("pet"), F.col("a.act"), none), fold(F.lit(DAY_S), False))["out"])
+    return _stretched(d).select("uid", "day_date", "r", "stays")
 
 
-def _stretched() -> Column:
-    """Stays before (b), the anchor, stays after (c), made to follow on each other."""
-    anchor = F.array(F.struct(F.col("a.act").alias("act"), F.col("pst").alias("st"), F.col("pet").alias("et")))
+def _stretched(d: DataFrame) -> DataFrame:
+    """``stays``: those before (b), the anchor, those after (c), made to follow on each other.
+
+    Intermediate arrays are columns of their own, so each is computed once.
+    """
     inside = lambda x: F.greatest(F.lit(0), F.least(x, F.lit(DAY_S)))
-    late = F.filter("b", lambda s: s["st"] > F.col("pst"))  # sorts behind the anchor (a home before an anchor moved to 0 sorts first)
-    early = F.filter("b", lambda s: s["st"] <= F.col("pst"))
-    n_early = F.size(early)
 
     def chain(items, start):
         """Each stay starts where the one before ended."""
 
         def step(out, s):
-            begin = F.when(F.size(out) > 0, F.element_at(out, -1)["et"]).otherwise(start)
-            begin = F.coalesce(begin, s["st"])
-            end = F.greatest(begin, inside(s["et"]))
-            return F.concat(out, F.array(F.struct(s["act"].alias("act"), begin.cast("int").alias("st"), end.cast("int").alias("et"))))
+            begin = F.coalesce(F.try_element_at(out, F.lit(-1))["et"], start, s["st"])
+            return let(begin, lambda x: F.concat(out, F.array(F.struct(s["act"].alias("act"), x.cast("int").alias("st"), F.greatest(x, inside(s["et"])).cast("int").alias("et")))))
 
         return F.aggregate(items, F.array().cast(f"array<{_STAY}>"), step)
 
-    open_start = F.when(F.col("first_day"), F.lit(None).cast("int")).otherwise(F.lit(0))
-    first_half = chain(early, open_start)
+    named = lambda s, et: F.struct(s["act"].alias("act"), s["st"].alias("st"), et.alias("et"))
+    # A stay that starts behind the anchor sorts behind it (a home before an anchor moved to 0 sorts first).
+    d = d.withColumn("early", F.filter("b", lambda s: s["st"] <= F.col("pst"))).withColumn("late", F.filter("b", lambda s: s["st"] > F.col("pst")))
+    d = d.withColumn("first_half", chain(F.col("early"), F.when(F.col("first_day"), F.lit(None).cast("int")).otherwise(F.lit(0))))
+    d = d.withColumn("second_half", chain(F.concat("late", "c"), F.col("pet")))
     # The last stay before the anchor ends with the anchor's start, earlier or later than it did.
-    joined = F.transform(first_half, lambda s, i: F.struct(s["act"].alias("act"), s["st"].alias("st"), F.when(i == n_early - 1, F.col("pst")).otherwise(s["et"]).alias("et")))
-    second_half = chain(F.concat(late, "c"), F.col("pet"))
-    whole = F.concat(joined, anchor, second_half)
-    return F.transform(whole, lambda s, i: F.struct(s["act"].alias("act"), s["st"].alias("st"), F.when((i == F.size(whole) - 1) & (F.size(second_half) > 0), F.lit(DAY_S)).otherwise(s["et"]).alias("et")))
+    joined = F.transform("first_half", lambda s, i: named(s, F.when(i == F.size("early") - 1, F.col("pst")).otherwise(s["et"])))
+    anchor = F.array(F.struct(F.col("a.act").alias("act"), F.col("pst").alias("st"), F.col("pet").alias("et")))
+    d = d.withColumn("whole", F.concat(joined, anchor, "second_half"))
+    return d.withColumn("stays", F.transform("whole", lambda s, i: named(s, F.when((i == F.size("whole") - 1) & (F.size("second_half") > 0), F.lit(DAY_S)).otherwise(s["et"]))))
 
 
 def leg_retimes(legs: DataFrame) -> DataFrame:
