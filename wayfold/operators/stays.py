@@ -58,18 +58,19 @@ def stays_by_day(stays: DataFrame, zone: str = "Europe/Rome") -> DataFrame:
     ).withColumn("duration", F.col("end_time") - F.col("start_time"))
 
 
-_DAY = Window.partitionBy("uid", "day_date")
+def _day():
+    return Window.partitionBy("uid", "day_date")
 
 
 def anchors(days: DataFrame) -> DataFrame:
     """The longest stay of each day away from home, the first of equals."""
-    best = F.row_number().over(_DAY.orderBy(F.desc("duration"), "stay_seq"))
+    best = F.row_number().over(_day().orderBy(F.desc("duration"), "stay_seq"))
     return days.where("activity_label <> 'home'").withColumn("rn", best).where("rn = 1").drop("rn")
 
 
 def successions(days: DataFrame) -> DataFrame:
     """Days' stays with ``next_activity`` and ``next_start`` of the same day."""
-    order = _DAY.orderBy("stay_seq", "start_time")
+    order = _day().orderBy("stay_seq", "start_time")
     return days.withColumn("next_activity", F.lead("activity_label").over(order)).withColumn("next_start", F.lead("start_time").over(order))
 
 
