@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -194,8 +195,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows:
 
 
 def _score_udf(model: Model):
-    import pandas as pd
-
     weights, bias = model.weights.tobytes(), model.bias
 
     @F.pandas_udf("double")
