@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, mix64, slices, utf8, words_of
+from .common import materialize, maybe_broadcast, mix64, slices, utf8, words_of
 from .components import connected_components
 
 BAND_RATIO = 1.15
@@ -96,6 +96,8 @@ class Bands:
 
 def block_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
     """The keys a set of sorted distinct hashes offers in all of its bands."""
+    if not len(tokens):
+        return np.zeros(0, np.uint64)
     out = []
     inner = mix64(tokens)
     high = tokens >> np.uint64(32)
@@ -109,7 +111,7 @@ def block_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
         if blocks - len(starts) > spare:
             empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), at[starts], assume_unique=True)
             out.append(mix64(mix64(empty + np.uint64((band << 40) + (1 << 63)))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out)
 
 
 def folded_sketch(tokens: np.ndarray) -> np.ndarray:
@@ -118,26 +120,43 @@ def folded_sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
+def wide_sketch(tokens: np.ndarray) -> bytes:
+    """Parity of at least four counters for each token: a power of two of bits, 64 or more."""
+    bits = max(64, 1 << (4 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    at = (mix64(tokens ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference; the longer sketch is folded onto the shorter."""
+    p, q = (np.frombuffer(v, np.uint64) for v in (x, y))
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def _summaries(n: int, num: int, den: int):
     def run(batches):
         bands = Bands(num, den)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             offsets, raw = utf8(batch.column(1))
             for lo, hi in slices(offsets):
                 at = offsets[lo : hi + 1] - offsets[lo]
-                keys, sizes, marks, sketches = [], [], [], []
+                keys, sizes, marks, sketches, wides = [], [], [], [], []
                 for tokens in shingle_sets(at, raw[offsets[lo] : offsets[hi]], n):
                     keys.append(block_keys(tokens, bands).view(np.int64))
                     sizes.append(len(tokens))
                     marks.append(xxhash.xxh3_64_intdigest(tokens.tobytes()))
                     sketches.append(folded_sketch(tokens))
+                    wides.append(wide_sketch(tokens))
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 wide = np.array(sketches, np.uint64).view(np.int64)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi], pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))] + [pa.array(wide[:, i]) for i in range(SKETCH_WORDS)],
-                    ["id", "n", "mark", "keys"] + [f"s{i}" for i in range(SKETCH_WORDS)],
+                    [batch.column(0)[lo:hi], pa.array(sizes, pa.int64()), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(wides, pa.binary())] + [pa.array(wide[:, i]) for i in range(SKETCH_WORDS)],
+                    ["id", "n", "mark", "keys", "wide"] + [f"s{i}" for i in range(SKETCH_WORDS)],
                 )
 
     return run
@@ -155,6 +174,16 @@ def _sets(n: int):
     return run
 
 
+def _near(num: int, den: int):
+    def run(batches):
+        for batch in batches:
+            sizes = np.add(batch.column(2).to_numpy(), batch.column(3).to_numpy()) * (den - num)
+            keep = [sketch_distance(x, y) * (den + num) <= most for x, y, most in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), sizes.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _linked(num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -180,9 +209,9 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
     so clashing names do no harm.  An empty table gives an empty result.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = narrow.mapInArrow(_summaries(n, num, den), f"id long, n long, mark long, keys array<long>, {_SKETCH}")
+    made = narrow.mapInArrow(_summaries(n, num, den), f"id long, n long, mark long, keys array<long>, wide binary, {_SKETCH}")
     made = materialize(made, "sketch")
-    facts = made.drop("keys")
+    facts, sketches = made.drop("keys", "wide"), made.select("id", "n", "wide")
 
     # One streaming pass over each key's members in order: the first member leads.
     flat = made.where("n > 0 and id is not null").select("id", F.explode("keys").alias("key"))
@@ -190,15 +219,17 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
     members = materialize(led.where("id <> lead"), "members")
 
     pairs = members.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verify(pairs, facts, narrow, n, num, den)
+    links = _verify(pairs, facts, sketches, narrow, n, num, den)
     parts = connected_components(links)
 
     # Members that the links so far leave outside their leader's component.
-    apart = members.join(parts.select("id", F.col("component").alias("ci")), "id", "left").join(parts.select(F.col("id").alias("lead"), F.col("component").alias("cl")), "lead", "left")
+    parts = materialize(parts, "parts")
+    few = maybe_broadcast(parts, parts.count())
+    apart = members.join(few.select("id", F.col("component").alias("ci")), "id", "left").join(few.select(F.col("id").alias("lead"), F.col("component").alias("cl")), "lead", "left")
     apart = apart.select("key", "id", "lead", F.coalesce("ci", "id").alias("ci"), F.coalesce("cl", "lead").alias("cl"))
     left = materialize(apart.where("ci <> cl"), "apart")
     if left.limit(1).count():
-        more = _verify(_cross_pairs(left, apart, facts, num, den), facts, narrow, n, num, den)
+        more = _verify(_cross_pairs(left, apart, facts, num, den), facts, sketches, narrow, n, num, den)
         parts = connected_components(materialize(links.union(more), "links"))
     out = facts.select("id", "n").join(parts, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
@@ -226,19 +257,28 @@ def _within(p, q, distance, num: int, den: int):
     return (F.least(p, q) * den >= F.greatest(p, q) * num) & (distance * (den + num) <= (p + q) * (den - num))
 
 
-def _verify(pairs: DataFrame, facts: DataFrame, narrow: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets link."""
+def _verify(pairs: DataFrame, facts: DataFrame, sketches: DataFrame, narrow: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets link.
+
+    Sizes and folded sketches come first, then sketches that are wide for large sets; only
+    documents of pairs that pass both have their sets read again.
+    """
     cols = ["n", "mark", *[f"s{i}" for i in range(SKETCH_WORDS)]]
     facts = facts.dropDuplicates(["id"])
     side = lambda p, as_id: facts.select(F.col("id").alias(as_id), *[F.col(c).alias(p + c) for c in cols])
     distance = sum((F.bit_count(F.col(f"xs{i}").bitwiseXOR(F.col(f"ys{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
     near = pairs.join(side("x", "a"), "a").join(side("y", "b"), "b").where(_within(F.col("xn"), F.col("yn"), distance, num, den))
     near = materialize(near.select("a", "b", ((F.col("xmark") == F.col("ymark")) & (F.col("xn") == F.col("yn"))).alias("same")), "near")
-    same = near.where("same").select("a", "b")
-    doubt = near.where("not same").select("a", "b")
-    wanted = doubt.select(F.col("a").alias("id")).union(doubt.select("b")).distinct()
-    count = wanted.count()
-    texts = narrow.where("id is not null").join(F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted, "id", "left_semi").select("id", "text")
-    sets = materialize(texts.mapInArrow(_sets(n), "id long, tokens binary"), "sets")
+    same, doubt = near.where("same").select("a", "b"), near.where("not same").select("a", "b")
+    wide = _of(doubt, sketches.dropDuplicates(["id"]))
+    both = doubt.join(wide.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b")
+    doubt = materialize(both.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_near(num, den), "a long, b long"), "doubt")
+    sets = materialize(_of(doubt, narrow.where("id is not null")).select("id", "text").mapInArrow(_sets(n), "id long, tokens binary"), "sets")
     joined = doubt.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     return materialize(joined.select("a", "b", "ta", "tb").mapInArrow(_linked(num, den), "a long, b long").union(same).distinct(), "links")
+
+
+def _of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``rows`` (id, ...) of documents in ``pairs``; their ids are broadcast while few."""
+    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+    return rows.join(maybe_broadcast(wanted, wanted.count()), "id", "left_semi")
