@@ -37,7 +37,7 @@ def _lines(min_words: int):
         for batch in batches:
             offsets, raw = utf8(batch.column(1))
             ids = batch.column(0).to_pylist()
-            for lo, hi in slices(offsets, 4 << 20):
+            for lo, hi in slices(offsets):
                 own = raw[offsets[lo] : offsets[hi]]
                 at = offsets[lo : hi + 1] - offsets[lo]
                 breaks = np.flatnonzero(own == 10)
@@ -125,7 +125,8 @@ def repeated_runs(lines: DataFrame, found: SuffixLevels) -> DataFrame:
     spark = lines.sparkSession
     starts = spark.createDataFrame([], "g long, base long, first long, need int")
     wanted = lines.where("need > 0")
-    for k, level in enumerate(found.levels):
+    longest = wanted.agg(F.max("need").alias("m")).first()["m"] or 0
+    for k, level in enumerate(found.levels[: int(longest).bit_length()]):  # a plan for each level keeps plans small
         own = wanted.where((F.col("need") >= 1 << k) & (F.col("need") < 2 << k))
         own = own.join(level.select("g", F.col("rank").alias("head")), "g")
         shifted = own.withColumn("at", F.col("g") + F.col("need") - (1 << k))
@@ -133,7 +134,7 @@ def repeated_runs(lines: DataFrame, found: SuffixLevels) -> DataFrame:
         named = shifted.join(tails, "at").select("g", "base", "need", "head", "tail")
         firsts = named.groupBy("need", "head", "tail").agg(F.min("g").alias("first"), F.count("*").alias("n")).where("n > 1")
         again = named.join(firsts, ["need", "head", "tail"]).where("first < g")
-        starts = starts.union(again.select("g", "base", "first", "need"))
+        starts = starts.union(materialize(again.select("g", "base", "first", "need"), "again"))
     if found.levels:
         homes = found.levels[0].select(F.col("g").alias("first"), F.col("base").alias("fbase"))
         starts = starts.join(homes, "first")
@@ -153,8 +154,7 @@ def repeated_runs(lines: DataFrame, found: SuffixLevels) -> DataFrame:
         longer = longer.join(here, "p", "left").join(there, "q", "left")
         same = (F.col("pbase") == F.col("base")) & (F.col("qbase") == F.col("fbase")) & (F.col("prank") == F.col("qrank"))
         ends = longer.select("g", "base", "first", "fbase", (F.col("length") + F.when(same, 1 << k).otherwise(0)).alias("length"))
-        if k % 4 == 0:
-            ends = materialize(ends, "ends")
+        ends = materialize(ends, "ends")
     return inner.union(ends.select("base", "g", "length"))
 
 
@@ -203,7 +203,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     wide = docs.select(F.struct(*rest).alias("row"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("run_key"))
     row, text, number = T.StructField("row", wide.schema["row"].dataType), T.StructField("text", T.StringType()), T.LongType()
     tied = wide.mapInArrow(_tied, T.StructType([row, text, T.StructField("run_key", number), T.StructField("tie", number)]))
-    joined = tied.join(lists, tied.run_key.eqNullSafe(lists.run_doc) & (tied.tie == lists.run_tie), "left").select("row", "text", "runs")
+    # Always by shuffle: the lists grow with the corpus, so small runs shall behave as large ones do.
+    joined = tied.join(lists.hint("merge"), tied.run_key.eqNullSafe(lists.run_doc) & (tied.tie == lists.run_tie), "left").select("row", "text", "runs")
     out = joined.mapInArrow(_delete, T.StructType([row, text, T.StructField("n_lines", number), T.StructField("n_removed", number)]))
     picked = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in columns]
     return out.select(*picked, F.col("n_lines"), F.col("n_removed"))
