@@ -29,7 +29,8 @@ from .common import slices, utf8
 
 SPACE = "▁"
 LONGEST = 16
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
+BATCH_BYTES = 1 << 20  # text that a lattice is made of at once
 _ROUGH = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+")
 
 
@@ -365,7 +366,7 @@ def _encode(model_file: str, keep_ids: bool):
         model = pieces(model_file)
         for batch in batches:
             offsets, _ = utf8(batch.column(1))
-            for lo, hi in slices(offsets, 4 << 20):
+            for lo, hi in slices(offsets, BATCH_BYTES):
                 texts = [t or "" for t in batch.column(1)[lo:hi].to_pylist()]
                 ids = model.encode(texts)
                 count, crc, back, same = [], [], [], []
