@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that lost all its words with these lines goes; ``n_chars`` follows the text.
     Null and empty texts that lost nothing stay as they are.
     """
-    kept = dedup_lines(docs)
+    kept = dedup_lines(docs, longest=True)
     kept = kept.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(*docs.columns)

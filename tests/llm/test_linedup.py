@@ -74,3 +74,48 @@ def test_empty_table(spark):
 def test_long_repeats_take_every_level(spark):
     long = "\n".join(f"line {i % 7} {i}" for i in range(100))
     check(spark, [(1, long), (2, "new\n" + long + "\ntail"), (3, long[: len(long) // 2])], 20)
+
+
+def longest_brute(docs, min_words):
+    """Delete, for every start, the longest run of enough words that stands anywhere before."""
+    order = sorted(docs)
+    flat = [(d, line) for d, (_, t) in enumerate(order) for line in t.split("\n")]
+    alike = lambda j, g, m: g + m < len(flat) and flat[g + m][0] == flat[g][0] and flat[j + m] == (flat[j][0], flat[g + m][1])
+    gone = [False] * len(flat)
+    for g in range(len(flat)):
+        m = 0
+        for j in range(g):
+            n = 0
+            while alike(j, g, n):
+                n += 1
+            m = max(m, n)
+        if sum(len(line.split()) for _, line in flat[g : g + m]) >= min_words:
+            gone[g : g + m] = [True] * m
+    return {i: "\n".join(line for (x, line), dead in zip(flat, gone, strict=True) if x == d and not dead) for d, (i, _) in enumerate(order)}
+
+
+def test_runs_reach_as_far_as_their_longest_earlier_copy(spark):
+    passage = "\n".join(f"a{i} b{i} c{i}" for i in range(20))
+    docs = [(1, passage + "\nx"), (2, passage + "\nt1\nt2"), (3, passage + "\nt1\nt2")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(df, 50, longest=True).collect()}
+    assert got == {1: (docs[0][1], 0), 2: ("t1\nt2", 20), 3: ("", 22)}
+    rng = random.Random(11)
+    lines = ["a b c", "d", "", "e f", "g h i j"]
+    docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(40)))) for i in range(80)]
+    tail = "\n".join(f"tail {i}" for i in range(37))
+    docs += [(100 + i, docs[i][1] + "\n" + tail[: rng.randrange(len(tail))]) for i in range(0, 80, 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in dedup_lines(df, 8, longest=True).collect()} == longest_brute(docs, 8)
+
+
+def test_the_query_and_the_stage_take_the_longest_copy(spark, tmp_path):
+    import corpus_pipeline
+    from wayfold.llm.queries import QUERIES
+
+    passage = "\n".join(f"a{i} b{i} c{i}" for i in range(20))
+    docs = [(1, passage + "\nx"), (2, passage + "\nt1\nt2"), (3, "own\n" + passage + "\nt1\nt2")]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in docs], "doc_id long, text string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect()} == {1: 0, 2: 20, 3: 22}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, str(tmp_path)).collect()}[3] == "own"

@@ -11,7 +11,8 @@ any depth m is named by two overlapping ranks, at its start and at m - 2**k line
 each start, m is the least number of lines with ``min_words`` words.  The interval's earliest
 suffix is found by an aggregate (which combines on the map side, so a run that a third of
 all documents share is no burden); every other suffix of it starts a repeated run, extended
-to its maximal length by comparing ranks from the highest level down.  The lines of repeated
+to its maximal length from the highest level down: into each deeper interval that still
+holds an earlier suffix.  The lines of repeated
 runs are deleted, so that a run stays where it stands first: in the smallest doc_id, and
 there at the first place.
 """
@@ -120,44 +121,65 @@ def suffix_levels(lines: DataFrame) -> SuffixLevels:
     return SuffixLevels(levels[:-1])
 
 
-def repeated_runs(lines: DataFrame, found: SuffixLevels) -> DataFrame:
-    """(base, g, length): runs to delete, from (g, base, need) and the suffix levels."""
+def repeated_runs(lines: DataFrame, found: SuffixLevels, longest: bool = False) -> DataFrame:
+    """(base, g, length): runs to delete, from (g, base, need) and the suffix levels.
+
+    A run is extended against its first copy, or with ``longest`` against all earlier copies.
+    """
     spark = lines.sparkSession
-    starts = spark.createDataFrame([], "g long, base long, first long, need int")
+    members = spark.createDataFrame([], "g long, base long, first long, need int")
     wanted = lines.where("need > 0")
-    longest = wanted.agg(F.max("need").alias("m")).first()["m"] or 0
-    for k, level in enumerate(found.levels[: int(longest).bit_length()]):  # a plan for each level keeps plans small
+    most = wanted.agg(F.max("need").alias("m")).first()["m"] or 0
+    for k, level in enumerate(found.levels[: int(most).bit_length()]):  # a plan for each level keeps plans small
         own = wanted.where((F.col("need") >= 1 << k) & (F.col("need") < 2 << k))
         own = own.join(level.select("g", F.col("rank").alias("head")), "g")
         shifted = own.withColumn("at", F.col("g") + F.col("need") - (1 << k))
         tails = level.select(F.col("g").alias("at"), F.col("rank").alias("tail"))
         named = shifted.join(tails, "at").select("g", "base", "need", "head", "tail")
         firsts = named.groupBy("need", "head", "tail").agg(F.min("g").alias("first"), F.count("*").alias("n")).where("n > 1")
-        again = named.join(firsts, ["need", "head", "tail"]).where("first < g")
-        starts = starts.union(materialize(again.select("g", "base", "first", "need"), "again"))
-    if found.levels:
-        homes = found.levels[0].select(F.col("g").alias("first"), F.col("base").alias("fbase"))
-        starts = starts.join(homes, "first")
-    else:
-        starts = starts.withColumn("fbase", F.col("base"))
-    starts = materialize(starts, "starts")
+        again = named.join(firsts, ["need", "head", "tail"])
+        members = members.union(materialize(again.select("g", "base", "first", "need"), "again"))
     # Only a run's last start can reach beyond what its later starts cover.
-    later = starts.select((F.col("g") - 1).alias("g"), "base", F.lit(1).alias("more"))
-    marked = starts.join(later, ["g", "base"], "left")
-    inner = marked.where("more is not null").select("base", "g", F.col("need").cast("long").alias("length"))
-    ends = marked.where("more is null").select("g", "base", "first", "fbase", F.col("need").cast("long").alias("length"))
-    for k in range(found.top, -1, -1):
-        level = found.levels[k]
-        here = level.select(F.col("g").alias("p"), F.col("base").alias("pbase"), F.col("rank").alias("prank"))
-        there = level.select(F.col("g").alias("q"), F.col("base").alias("qbase"), F.col("rank").alias("qrank"))
-        longer = ends.withColumn("p", F.col("g") + F.col("length")).withColumn("q", F.col("first") + F.col("length"))
-        longer = longer.join(here, "p", "left").join(there, "q", "left")
-        same = (F.col("pbase") == F.col("base")) & (F.col("qbase") == F.col("fbase")) & (F.col("prank") == F.col("qrank"))
-        ends = longer.select("g", "base", "first", "fbase", (F.col("length") + F.when(same, 1 << k).otherwise(0)).alias("length"))
-        ends = materialize(ends, "ends")
+    later = members.where("first < g").select((F.col("g") - 1).alias("g"), "base", F.lit(1).alias("more"))
+    marked = members.join(later, ["g", "base"], "left")
+    marked = marked.select("g", "base", "first", F.col("need").cast("long").alias("length"), (F.col("first") < F.col("g")).alias("again"), F.col("more").isNotNull().alias("more"))
+    marked = materialize(marked, "starts")
+    inner = marked.where("again and more").select("base", "g", "length")
+    copy = F.lit(True) if longest else F.col("g") == F.col("first")
+    rows = marked.select("g", "base", "first", "length", copy.alias("copy"), F.expr("again and not more").alias("last"))
+    ends = _extended(materialize(_with_ends(rows), "rows"), found)
     return inner.union(ends.select("base", "g", "length"))
 
 
+def _with_ends(rows: DataFrame) -> DataFrame:
+    """The rows of intervals that still have a last start."""
+    live = rows.where("last").select("first", "length").distinct()
+    return rows.where("copy or last").join(live, ["first", "length"], "left_semi").select("g", "base", "first", "length", "copy", "last")
+
+
+def _extended(rows: DataFrame, found: SuffixLevels) -> DataFrame:
+    """The last starts of (g, base, first, length, copy, last) at their maximal length.
+
+    An interval is named by its length and its first copy.  From the highest level down, those
+    suffixes of it that go on alike for 2**k lines form a deeper one; last starts behind that
+    one's first copy move into it, copies are in both.
+    """
+    for k in range(found.top, -1, -1):
+        level = found.levels[k].select(F.col("g").alias("p"), "base", F.col("rank").alias("next"))
+        ahead = rows.withColumn("p", F.col("g") + F.col("length")).join(level, ["p", "base"])
+        groups = ahead.groupBy("first", "length", "next").agg(F.min(F.when(F.col("copy"), F.col("g"))).alias("deeper"), F.max(F.when(F.col("last"), F.col("g"))).alias("far")).where("deeper < far")
+        moved = ahead.join(groups, ["first", "length", "next"]).select("g", "base", "first", "length", "deeper", "copy", F.expr("last and g > deeper").alias("gains"))
+        moved = materialize(moved, "moved")
+        if not moved.limit(1).count():
+            continue
+        grown = moved.select("g", "base", F.col("deeper").alias("first"), (F.col("length") + (1 << k)).alias("length"), "copy", F.col("gains").alias("last"))
+        left = moved.where("gains").select("g", "first", "length", "gains")
+        stay = rows.join(left, ["g", "first", "length"], "left").select("g", "base", "first", "length", "copy", F.expr("last and gains is null").alias("last"))
+        done = materialize(stay.union(grown), "rows")
+        rows = materialize(_with_ends(done), "rows")
+    return rows.where("last")
+
+
 def _delete(batches):
     for batch in batches:
         texts, totals, gone = [], [], []
@@ -174,7 +196,7 @@ def _delete(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_lines", "n_removed"])
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", longest: bool = False) -> DataFrame:
     """Delete later copies of maximal repeated line runs of at least ``min_words`` words.
 
     Returns all columns of ``docs``, ``text_col`` without the deleted lines, and
@@ -194,7 +216,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     bases = numbered.withColumnRenamed("doc", "nd").withColumnRenamed("tie", "nt")
     lines = lines.join(bases, lines.doc.eqNullSafe(bases.nd) & (lines.tie == bases.nt))
     lines = materialize(lines.select((F.col("base") + F.col("pos")).alias("g"), "base", "line", "need"), "repeated")
-    runs = repeated_runs(lines, suffix_levels(lines))
+    runs = repeated_runs(lines, suffix_levels(lines), longest)
     lists = runs.groupBy("base").agg(F.collect_list(F.struct((F.col("g") - F.col("base")).cast("int").alias("at"), F.col("length").cast("int").alias("length"))).alias("runs"))
     lists = materialize(lists.join(numbered, "base").select(F.col("doc").alias("run_doc"), F.col("tie").alias("run_tie"), "runs"), "runs")
 

@@ -63,7 +63,7 @@ def op8_media_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents without later copies of line runs of 50 words or more."""
-    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    kept = dedup_lines(table(spark, sf_dir, "documents"), longest=True)
     text = F.coalesce("text", F.lit(""))
     return kept.select("doc_id", "n_lines", "n_removed", F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
 
