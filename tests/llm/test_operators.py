@@ -361,3 +361,26 @@ def test_slots_alternate_by_weight(spark):
         for n in (60, 600, 6000):
             assert abs(sum(r.k == k for r in slots[:n]) - n * share) <= 6  # any prefix is close to the weights
     assert sorted(r["rank"] for r in slots if r.k == 2) == list(range(sum(r.k == 2 for r in slots)))
+
+
+# -- word caches ------------------------------------------------------------------------
+
+
+def test_batches_with_more_words_than_the_caches_hold(monkeypatch):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from wayfold.llm import spiece
+
+    monkeypatch.setattr(sstable, "CACHE_WORDS", 10)
+    monkeypatch.setattr(spiece, "CACHE_WORDS", 10)
+    word = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:8]
+    warm, texts = [" ".join(map(word, range(9)))], [" ".join(map(word, range(8, 40))), " ".join(map(word, range(35, 50)))]
+    coder, plain = sstable.WordEncoder(sstable.default_tokenizer()), Tokenizer.from_file(sstable.default_tokenizer())
+    model, sp = Pieces(default_model()), sentencepiece.SentencePieceProcessor(model_file=default_model())
+    for batch in (warm, texts, warm + texts):
+        for text, ids in zip(batch, coder.encode(batch, 2), strict=True):
+            assert np.frombuffer(ids, coder.kind).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+        for text, ids in zip(batch, model.encode(batch), strict=True):
+            assert np.frombuffer(ids, np.uint16).tolist() == sp.encode(text)
+        assert len(coder.cache) <= 10 and len(model.cache) <= 10

@@ -281,8 +281,6 @@ class Pieces:
 
     def learn(self, words: set[str]) -> None:
         """Put the ids of ``words`` into the cache; characters outside the vocabulary split them."""
-        if len(self.cache) + len(words) > CACHE_WORDS:  # keep the first half: frequent words come early
-            self.cache = dict(islice(self.cache.items(), CACHE_WORDS // 2))
         parts: dict[str, list[str]] = {}
         fresh: dict[str, bytes] = {}
         known = self.ids.keys()
@@ -324,13 +322,17 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, 16 bits each, little-endian."""
         split = [self.words(t) for t in texts]
-        missing = set().union(*split) - self.cache.keys()
-        if missing:
+        every = set().union(*split)
+        if missing := every - self.cache.keys():
+            if len(self.cache) + len(missing) > CACHE_WORDS:  # keep the first half: frequent words come early
+                own = {w: self.cache[w] for w in every - missing}  # and what this batch needs
+                self.cache = dict(islice(self.cache.items(), CACHE_WORDS // 2)) | own
             self.learn(missing)
-            if lost := set().union(*split) - self.cache.keys():  # the cache was cut
-                self.learn(lost)
         get = self.cache.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+        out = [b"".join(map(get, w)) for w in split]
+        if len(self.cache) > CACHE_WORDS:  # one batch had more words
+            self.cache = dict(islice(self.cache.items(), CACHE_WORDS // 2))
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids; the space that encoding put in front goes away."""

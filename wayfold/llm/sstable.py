@@ -203,8 +203,6 @@ class WordEncoder:
         return np.array(ids, self.kind).tobytes()
 
     def learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:  # keep the first half: frequent words come early
-            self.cache = dict(islice(self.cache.items(), CACHE_WORDS // 2))
         cache, rest = self.cache, []
         for w in words:
             if not w or w == "\n" or w[w[0] == "\n"].isspace():
@@ -245,9 +243,10 @@ class WordEncoder:
         split = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
         every = set().union(*split)
         if missing := every - self.cache.keys():
+            if len(self.cache) + len(missing) > CACHE_WORDS:  # keep the first half: frequent words come early
+                own = {w: self.cache[w] for w in every - missing}  # and what this batch needs
+                self.cache = dict(islice(self.cache.items(), CACHE_WORDS // 2)) | own
             self.learn(missing)
-            if lost := every - self.cache.keys():  # the cache was cut
-                self.learn(lost)
         get, stop, skip = self.cache.__getitem__, self._bytes([end]), len(self.line_end)
         out = []
         for text, words in zip(texts, split, strict=True):
@@ -256,6 +255,8 @@ class WordEncoder:
                 out.append(self._bytes(self._ids(text)) + stop)
             else:
                 out.append(b"".join(parts)[skip:] + stop)  # without the line end put in front
+        if len(self.cache) > CACHE_WORDS:  # one batch had more words
+            self.cache = dict(islice(self.cache.items(), CACHE_WORDS // 2))
         return out
 
 
