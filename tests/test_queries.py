@@ -45,3 +45,9 @@ def test_entry(spark):
 
     assert len(__spark_entry__.entry(spark).collect()) == 20
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_origin_has_its_column(spark):
+    moves = QUERIES["population_transitions"](spark, SF).collect()
+    matrix = QUERIES["transition_matrix_all"](spark, SF).collect()
+    assert {(c, m.to_activity): m[c] for m in matrix for c in m.asDict() if c != "to_activity" and m[c]} == {(m.from_activity, m.to_activity): m.prob for m in moves}

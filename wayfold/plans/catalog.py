@@ -278,6 +278,15 @@ def transition_matrix(spark, d):
     return m.select("to_activity", *[r(c, 6) for c in _MATRIX])
 
 
+_EVERY = ("home", "work", "unknown", *stays.CLASSES[1:])
+
+
+@query(f"with {o.DAYS}, t as (select activity_label as f, next_activity as to_activity, count(*) / sum(count(*)) over (partition by activity_label) as prob from day_stays where next_activity is not null group by 1, 2) select to_activity, {', '.join(f'''round(coalesce(max(prob) filter (f = '{x}'), 0), 6) as "{x}"''' for x in _EVERY)} from t group by 1")
+def transition_matrix_all(spark, d):
+    m = stays.transition_matrix(stays.transitions(_days(spark, d), by_user=False), list(_EVERY))
+    return m.select("to_activity", *[r(c, 6) for c in _EVERY])
+
+
 @query(f"with {o.TRIPS}, {_histogram_sql('select uid, et - st as ride from trips', 'uid', 'ride').replace(', 3', ', 2')}")
 def trip_duration_histogram(spark, d):
     rides = testbed.trips(spark, d).withColumn("ride", F.col("et") - F.col("st"))
