@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import core
 from wayfold.operators import compare, mapping, route, segment, spatial, stays, timeline, trajectory
+from wayfold.plans import pipeline
 
 LABELS = "uid long, loc_id string, activity_label string"
 
@@ -175,3 +176,16 @@ def test_visits_keep_the_wanted_diversity():
         used.add(mapping.choose_visit([1, 2, 3], [5.0, 1.0, 0.0], used, 2, (k,)))
     assert len(used) == 2
     assert mapping.choose_visit([4], [0.0], set(), 1, ("x",)) == 4
+
+
+def test_landuse_areas_fill_home_and_work_pools(spark):
+    nodes = spark.createDataFrame([(i, 9.0 + i * 0.01, 45.0) for i in range(12)], "node_id long, x double, y double")
+    edges = spark.createDataFrame([], "u long, v long, key int, length double, travel_time double")
+    uses = ["residential", "commercial", "industrial", "retail", "forest"]
+    f = [(i * 12 + k, {"landuse": use}, 9.0 + k * 0.01, 45.003) for i, use in enumerate(uses) for k in range(i, 12, 5)]
+    f += [(100, {"landuse": "residential"}, 9.3, 45.0), (101, {"amenity": "cafe"}, 9.0, 45.0)]  # the first: no node within 400 m
+    pools = pipeline.city_of("x", spark.createDataFrame(f, "feature_id long, tags map<string,string>, lon double, lat double"), nodes, edges).pools
+    got = {a: {n for x, n in rows(pools, "activity", "node_id") if x == a} for a in ("home", "work", "eat")}
+    landuse = spatial.landuse_pools(spark.createDataFrame(f, "feature_id long, tags map<string,string>, lon double, lat double"), nodes)
+    assert rows(landuse, "activity", "node_id") == sorted([("home", k) for k in (0, 5, 10)] + [("work", k) for i in (1, 2, 3) for k in range(i, 12, 5)])
+    assert {0, 5, 10} <= got["home"] and {1, 2, 3, 6, 7, 8, 11} <= got["work"] and got["eat"] == {0}

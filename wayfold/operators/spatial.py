@@ -130,6 +130,13 @@ def activity_pools(classified: DataFrame, nodes: DataFrame, radius: float = 200.
     return hit.select("activity", "node_id").distinct()
 
 
+def landuse_pools(features: DataFrame, nodes: DataFrame, radius: float = 400.0) -> DataFrame:
+    """(activity, node_id) of home and work: the one nearest node of every residential or work area."""
+    use = F.col("tags")["landuse"]
+    label = F.when(use == "residential", "home").when(use.isin("commercial", "industrial", "retail"), "work")
+    return activity_pools(features.withColumn("activity", label), nodes, radius)
+
+
 def augment(pools: DataFrame, nodes: DataFrame, labels: tuple[str, ...] = ("home", "work"), seed: int = 0) -> DataFrame:
     """Pools of ``labels`` get half of all nodes, those of the smallest draws."""
     each = nodes.select("node_id", F.explode(F.array(*map(F.lit, labels))).alias("activity"))

@@ -98,7 +98,7 @@ def evaluate(points: DataFrame, originals: DataFrame | None = None, cell_m: floa
 
 
 def city_of(name: str, features: DataFrame, nodes: DataFrame, edges: DataFrame, seed: int = 0) -> City:
-    """A city's pools from map features: nearest nodes, half of all nodes for home and work."""
-    pools = spatial.activity_pools(spatial.classify(features, unmatched=None), nodes)
+    """A city's pools from map features: nearest nodes; landuse areas' and half of all nodes for home and work."""
+    pools = spatial.activity_pools(spatial.classify(features, unmatched=None), nodes).union(spatial.landuse_pools(features, nodes))
     pools = spatial.augment(pools, nodes, seed=seed)
     return City(name, nodes, edges, spatial.with_fallback(pools, nodes, [*stays.CLASSES[1:], "home", "work"]).persist())
