@@ -189,3 +189,19 @@ def test_landuse_areas_fill_home_and_work_pools(spark):
     landuse = spatial.landuse_pools(spark.createDataFrame(f, "feature_id long, tags map<string,string>, lon double, lat double"), nodes)
     assert rows(landuse, "activity", "node_id") == sorted([("home", k) for k in (0, 5, 10)] + [("work", k) for i in (1, 2, 3) for k in range(i, 12, 5)])
     assert {0, 5, 10} <= got["home"] and {1, 2, 3, 6, 7, 8, 11} <= got["work"] and got["eat"] == {0}
+
+
+@pytest.mark.parametrize("south", [-75.5, 71.0, 88.7])
+def test_radius_join_far_from_the_equator(spark, south):
+    pts = spark.range(200).select("id", (F.col("id") * 7919 % 1000 / 1000.0 - 0.5).alias("lon"), (F.col("id") * 104729 % 1000 / 2000.0 + south).alias("lat"))
+    other = pts.select(F.col("id").alias("rid"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat"))
+    fast = rows(spatial.within_radius(pts, other, 5000.0), "id", "rid")
+    assert fast == rows(pts.crossJoin(other).where(core.haversine("lon", "lat", "rlon", "rlat", core.GREAT_CIRCLE_M) <= 5000.0), "id", "rid")
+
+
+def test_nearest_node_has_no_bound(spark):
+    nodes = spark.createDataFrame([(1, 9.0, 45.0), (2, 9.1, 45.0)], "node_id long, x double, y double")
+    ends = spark.createDataFrame([("near", 9.0, 45.001), ("far", 12.0, 45.0), ("farther", 100.0, -30.0), ("nowhere", None, 45.0)], "k string, lon double, lat double")
+    got = {r.k: (r.node_id, r.dist) for r in spatial.nearest_any(ends, ["k"], nodes, first_radius=64_000.0).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {"near": 1, "far": 2, "farther": 2}
+    assert 220_000 < got["far"][1] < 235_000

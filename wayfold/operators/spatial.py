@@ -6,8 +6,6 @@ visits the neighbouring cells, and the exact distance is checked behind an equi
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,44 +56,56 @@ def classify(features: DataFrame, unmatched: str | None = "other") -> DataFrame:
     return features.join(best, "feature_id", "left").withColumn("activity", F.coalesce("activity", F.lit(unmatched)))
 
 
-def _cells(lon, lat, radius: float, widest_lat: float) -> tuple[Column, Column]:
+def _cell_x(lon, cy, radius: float) -> Column:
+    """Cell of ``lon`` in the row ``cy``: as wide as the radius at the far edge of the rows next to it."""
     degree = radius / 111_000.0
-    return F.floor(lon / (degree / math.cos(math.radians(min(89.0, widest_lat))))), F.floor(lat / degree)
+    edge = (F.greatest(F.abs(cy), F.abs(cy + 1)) + 1) * degree
+    return F.when(edge < 89.0, F.floor(lon / (degree / F.cos(F.radians(edge))))).otherwise(F.lit(0))  # by a pole: one cell
 
 
-def within_radius(left: DataFrame, right: DataFrame, radius: float, widest_lat: float = 60.0, earth: float = GREAT_CIRCLE_M) -> DataFrame:
+def within_radius(left: DataFrame, right: DataFrame, radius: float, earth: float = GREAT_CIRCLE_M) -> DataFrame:
     """Pairs of ``left`` (lon, lat, ...) and ``right`` (rlon, rlat, ...) within ``radius`` metres, and their distance ``dist``.
 
-    Cells are at least the radius wide up to latitude ``widest_lat``.  ``right`` visits its
-    nine neighbouring cells, so it should be the smaller side.
+    Cells are at least the radius wide at every latitude: each row of cells has its own width.
+    ``right`` visits its nine neighbouring cells, so it should be the smaller side.
     """
     wide = radius * 1.02  # a degree is a little shorter than 111 km in places
-    cx, cy = _cells(F.col("lon"), F.col("lat"), wide, widest_lat)
+    row = lambda lat: F.floor(F.col(lat) / (wide / 111_000.0))
     near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    rx, ry = _cells(F.col("rlon"), F.col("rlat"), wide, widest_lat)
-    spread = right.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumn("cx", rx + F.col("dx")).withColumn("cy", ry + F.col("dy")).drop("dx", "dy")
-    joined = left.withColumn("cx", cx).withColumn("cy", cy).join(spread, ["cx", "cy"]).drop("cx", "cy")
+    spread = right.withColumn("dx", F.explode(near)).withColumn("cy", F.explode(F.transform(near, lambda i: row("rlat") + i)))
+    spread = spread.withColumn("cx", _cell_x(F.col("rlon"), F.col("cy"), wide) + F.col("dx")).drop("dx")
+    keyed = left.withColumn("cy", row("lat")).withColumn("cx", _cell_x(F.col("lon"), F.col("cy"), wide))
+    joined = keyed.join(spread, ["cx", "cy"]).drop("cx", "cy")
     return joined.withColumn("dist", haversine("lon", "lat", "rlon", "rlat", earth)).where(F.col("dist") <= radius)
 
 
-def nearest(left: DataFrame, key: list[str], nodes: DataFrame, radius: float, widest_lat: float = 60.0) -> DataFrame:
-    """Each left row's nearest node within ``radius`` (least id of equals); none: no row."""
-    pairs = within_radius(left, nodes.select("node_id", F.col("x").alias("rlon"), F.col("y").alias("rlat")), radius, widest_lat)
+def _closest(pairs: DataFrame, key: list[str]) -> DataFrame:
     best = F.min_by(F.struct("node_id", "dist"), F.struct(F.round("dist", 6), "node_id"))
     return pairs.groupBy(*key).agg(best.alias("b")).select(*key, F.col("b.node_id").alias("node_id"), F.col("b.dist").alias("dist"))
 
 
+def nearest(left: DataFrame, key: list[str], nodes: DataFrame, radius: float) -> DataFrame:
+    """Each left row's nearest node within ``radius`` (least id of equals); none: no row."""
+    return _closest(within_radius(left, nodes.select("node_id", F.col("x").alias("rlon"), F.col("y").alias("rlat")), radius), key)
+
+
 def nearest_any(left: DataFrame, key: list[str], nodes: DataFrame, first_radius: float = 250.0, rounds: int = 12) -> DataFrame:
-    """Nearest node without a bound: rings of doubling radius for what is still open."""
+    """Nearest node without a bound: rings of doubling radius, then all nodes for what is still open."""
     found, radius = None, first_radius
     for _ in range(rounds):
         hit = nearest(left, key, nodes, radius)
         found = hit if found is None else found.union(hit)
         left = left.join(hit.select(*key), key, "left_anti")
         radius *= 2
-        if radius > 100_000 or not left.limit(1).count():
+        if not left.limit(1).count():
+            return found
+        if radius > 100_000:
             break
-    return found
+    every = nodes.select("node_id", F.col("x").alias("rlon"), F.col("y").alias("rlat"))
+    left = left.where("lon is not null and lat is not null")
+    pairs = left.crossJoin(F.broadcast(every)).withColumn("dist", haversine("lon", "lat", "rlon", "rlat", GREAT_CIRCLE_M))  # a city's nodes
+    rest = _closest(pairs, key)
+    return rest if found is None else found.union(rest)
 
 
 def poi_counts(places: DataFrame, classified: DataFrame, radius: float = 200.0) -> DataFrame:
