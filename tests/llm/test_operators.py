@@ -384,3 +384,13 @@ def test_batches_with_more_words_than_the_caches_hold(monkeypatch):
         for text, ids in zip(batch, model.encode(batch), strict=True):
             assert np.frombuffer(ids, np.uint16).tolist() == sp.encode(text)
         assert len(coder.cache) <= 10 and len(model.cache) <= 10
+
+
+def test_added_tokens_in_texts_are_what_the_library_makes_of_them():
+    from tokenizers import Tokenizer
+
+    coder, plain = sstable.WordEncoder(sstable.default_tokenizer()), Tokenizer.from_file(sstable.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|>y <|endof text|>", "a b", ""]
+    for text, ids in zip(texts, coder.encode(texts, 2), strict=True):
+        assert np.frombuffer(ids, coder.kind).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+    assert 50256 in np.frombuffer(coder.encode(texts, 2)[0], coder.kind)

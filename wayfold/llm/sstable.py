@@ -176,7 +176,8 @@ class WordEncoder:
     space that follows and precedes other characters, and around a single line end.  Between
     these borders a text's ids do not depend on the rest of it, so the library encodes each
     distinct word once and a cache of bounded size serves repeats.  Texts in which white
-    space meets white space in ways that this does not cover are encoded as a whole.
+    space meets white space in ways that this does not cover are encoded as a whole, as are
+    texts that hold an added token's string.
     """
 
     ODD = b"odd"
@@ -186,7 +187,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.line_end = self._bytes(self._ids("\n"))
@@ -240,7 +241,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of each text and ``end``, little-endian, ``width`` bytes each."""
-        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
+        whole = [any(a in t for a in self.added) for t in texts]
+        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t and not w else [] for t, w in zip(texts, whole, strict=True)]
         every = set().union(*split)
         if missing := every - self.cache.keys():
             if len(self.cache) + len(missing) > CACHE_WORDS:  # keep the first half: frequent words come early
@@ -249,9 +251,9 @@ class WordEncoder:
             self.learn(missing)
         get, stop, skip = self.cache.__getitem__, self._bytes([end]), len(self.line_end)
         out = []
-        for text, words in zip(texts, split, strict=True):
+        for text, words, alone in zip(texts, split, whole, strict=True):
             parts = list(map(get, words))
-            if self.ODD in parts:
+            if alone or self.ODD in parts:
                 out.append(self._bytes(self._ids(text)) + stop)
             else:
                 out.append(b"".join(parts)[skip:] + stop)  # without the line end put in front
