@@ -161,6 +161,21 @@ def test_statistics_of_short_and_relative_trips(spark):
     assert compare.path_metrics(df, synthetic=True).collect()[0].detour_ratio == 1.0
 
 
+def test_lengths_in_literal_metres(spark):
+    pts = [(1, 45.0, 9.0, 0), (2, 45.0, 9.0, 0), (2, 45.01, 9.0, 1), (3, 45.0, 9.0, 0), (3, 45.01, 9.0, 1), (3, 45.01, 9.01, 2), (4, None, 9.0, 0), (4, 45.0, None, 1), (5, None, 9.0, 0), (5, 45.0, 9.0, 1), (5, 45.01, 9.0, 2)]
+    df = spark.createDataFrame([(7, t, lat, lon, 100.0 + i, i) for t, lat, lon, i in pts], "user_id long, trajectory_id long, lat double, lon double, time double, point_seq long")
+    got = {r.trajectory_id: r for r in trajectory.trip_statistics(df).collect()}
+    assert [got[t].path_length_meters for t in (1, 4)] == [0.0, 0.0]
+    assert [round(got[t].path_length_meters, 2) for t in (2, 3, 5)] == [1111.95, 1898.08, 1111.95]  # two points, three, a null first
+    assert [round(got[t].od_distance_meters, 2) for t in (1, 2, 3, 5)] == [0.0, 1111.95, 1361.81, 1111.95] and got[4].od_distance_meters is None
+    assert df.select(core.haversine("lon", "lat", F.lit(9.0), F.lit(45.0)).alias("m")).where("m is null").count() == 3
+
+
+def test_scale_of_a_person_with_home_alone(spark):
+    places = spark.createDataFrame([(1, "0", 9.0, 45.0), (2, "0", 9.0, 45.0), (2, "1", 9.0, 45.01), (2, "2", 9.0, 44.97)], "uid long, loc_id string, lon double, lat double")
+    assert [(u, round(s, 4)) for u, s in rows(mapping.imn_scale(places), "uid", "scale_km")] == [(1, 0.0), (2, 2.2239)]
+
+
 def test_segmentation(spark):
     pts = [(1, 9.0 + i * 0.01, 45.0, i * 60) for i in range(5)] + [(1, 9.04, 45.0, 240 + i * 600) for i in range(1, 4)] + [(1, 9.05 + i * 0.01, 45.0, 2100 + i * 60) for i in range(3)] + [(1, 9.2, 45.0, 9000), (1, 9.3, 45.0, 9060)]
     s = segment.segment(spark.createDataFrame(pts, "id long, longitude double, latitude double, timestamp long"))

@@ -25,10 +25,11 @@ def col(x: Column | str | float | int) -> Column:
 
 
 def haversine(lon1, lat1, lon2, lat2, radius: float = EARTH_M) -> Column:
-    """Great-circle distance of two points."""
+    """Great-circle distance of two points; null where a coordinate is null."""
     dlat, dlon = F.sin(F.radians(col(lat2) - col(lat1)) / 2), F.sin(F.radians(col(lon2) - col(lon1)) / 2)
     a = dlat * dlat + F.cos(F.radians(col(lat1))) * F.cos(F.radians(col(lat2))) * dlon * dlon
-    return F.lit(2 * radius) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    # Not least(a, 1): that skips nulls and would make a null half the earth's circumference.
+    return F.lit(2 * radius) * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))
 
 
 def cell_x(lon, ref_lon, ref_lat, size: float) -> Column:

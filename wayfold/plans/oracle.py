@@ -7,7 +7,7 @@ ROME = "Europe/Rome"
 
 def hav(lon1: str, lat1: str, lon2: str, lat2: str, radius: float = 6371000.0) -> str:
     a = f"sin(radians({lat2} - {lat1}) / 2) * sin(radians({lat2} - {lat1}) / 2) + cos(radians({lat1})) * cos(radians({lat2})) * sin(radians({lon2} - {lon1}) / 2) * sin(radians({lon2} - {lon1}) / 2)"
-    return f"(2e0 * {radius!r}e0 * asin(sqrt(least({a}, 1e0))))".replace("e0e0", "e0")
+    return f"(2e0 * {radius!r}e0 * asin(case when {a} > 1e0 then 1e0 else sqrt({a}) end))".replace("e0e0", "e0")
 
 
 def offset(ts: str, zone: str = ROME) -> str:
@@ -27,15 +27,16 @@ POINTS = """points as (
   from lineitem join orders on l_orderkey = o_orderkey)"""
 
 STATS = f"""{POINTS},
-stepped as (
-  select *, coalesce({hav("lag(lon) over w", "lag(lat) over w", "lon", "lat")}, 0) as step
-  from points window w as (partition by user_id, trajectory_id order by time, point_seq)),
+ranked as (select *, row_number() over (partition by user_id, trajectory_id order by time, point_seq) as nth from points),
+hops as (
+  select b.user_id, b.trajectory_id, sum({hav("a.lon", "a.lat", "b.lon", "b.lat")}) as metres
+  from ranked a join ranked b on a.user_id = b.user_id and a.trajectory_id = b.trajectory_id and b.nth = a.nth + 1 group by 1, 2),
 stats as (
-  select user_id, trajectory_id, max(time) - min(time) as duration_seconds, sum(step) as path_length_meters,
+  select user_id, trajectory_id, max(time) - min(time) as duration_seconds, coalesce(any_value(metres), 0) as path_length_meters,
     first(lat order by time, point_seq) as origin_lat, first(lon order by time, point_seq) as origin_lon,
     last(lat order by time, point_seq) as dest_lat, last(lon order by time, point_seq) as dest_lon,
     min(time) as start_time, count(*) as n_points
-  from stepped group by user_id, trajectory_id),
+  from points left join hops using (user_id, trajectory_id) group by user_id, trajectory_id),
 trips_stat as (
   select *, {hav("origin_lon", "origin_lat", "dest_lon", "dest_lat")} as od_distance_meters,
     cast(floor(((start_time + {offset("start_time")}) % 86400) / 3600) as integer) as start_hour,
