@@ -137,6 +137,32 @@ def test_turn_rows_with_ties_and_nulls(spark):
     assert chat.parse(got[2].formatted) == [("system", "only")] and chat.parse(got[None].formatted) == [("user", "x")]
 
 
+def test_extra_missing_and_deep_fields(spark):
+    records = [
+        '{"id": 7, "prompt": "p", "meta": {"a": [1, {"b": 2}]}, "response": "r"}', '{"system": "s", "messages": []}', '{"messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant"}]}',
+        '{"messages": {"role": "user", "content": "a"}}', '{"messages": ["a"]}', "[" * 100_000 + "]" * 100_000, '{"system": "s", "prompt": "p", "completion": {"x": 1}}', '{"messages": null}',
+    ]
+    got = {r.k: r for r in chat.format_chats(spark.createDataFrame(list(enumerate(records)), "k long, j string"), "k", "j").collect()}
+    turns = {k: r.formatted if r.formatted is None else chat.parse(r.formatted) for k, r in got.items()}
+    assert turns == {0: [("user", "p"), ("assistant", "r")], 1: [("system", "s")], 2: [("user", "a"), ("assistant", "")], 3: None, 4: None, 5: None, 6: [("system", "s"), ("user", "p"), ("assistant", '{"x": 1}')], 7: []}
+    assert got[3].fingerprint is not None and got[5].fingerprint is None
+
+
+def test_long_conversations_are_digested_part_by_part(spark):
+    rng = random.Random(9)
+    rows = [(c, k, rng.choice(["system", "user", "assistant", None]), rng.choice(["", "x" * 50, "[INST] é\\", None])) for c, n in ((1, 300), (2, 2), (3, 1), (None, 40)) for k in range(n)]
+    turns = spark.createDataFrame(rows * 2, "conv_id long, turn long, role string, text string")  # every row twice
+    records = chat.records_of_turns(turns, part_bytes=1000)
+    assert records.where("conv_id = 1").count() > 20
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(records, "conv_id", "record", "part")).collect()}
+    for c in (1, 2, 3, None):
+        own = sorted((k, role or "", text or "") for i, k, role, text in rows * 2 if i == c)
+        learned = "".join(t for _, r, t in own if r == "assistant")
+        want = (len(own), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest())
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == want
+    assert len(got) == 4 and chat.read_back(chat.format_chats(chat.records_of_turns(turns.limit(0)), "conv_id", "record", "part")).collect() == []
+
+
 # -- 3: quality -----------------------------------------------------------------------
 
 
