@@ -1,24 +1,27 @@
 """SentencePiece (BPE) encoding and decoding by suffix-array matching.
 
-A batch's distinct words are joined into one text, whose suffix array is built by prefix
-doubling.  Every piece is looked up in it by binary search, all pieces at once; the ranges
-found are the edges of a lattice: which piece covers which characters.  The edges are sorted
-by position and relaxed from left to right.  For byte-pair encoding each prefix of a word has
-exactly one last piece: the one that the merge order would not have joined otherwise with the
-last piece of what precedes it.  That test (:meth:`Pieces.holds`) only walks down the two
-pieces' own merges, so relaxing needs no priority queue and runs on whole arrays.
+A batch of texts is indexed as the concatenation of its distinct words (a word that occurs
+again has the same ids): their suffix array is built by prefix doubling until the longest
+piece is covered.  Every piece is looked up in it by binary search, all pieces at once; the
+ranges found are the edges of a lattice: which piece covers which characters.  The edges are
+sorted by position and relaxed from left to right.  For byte-pair encoding each prefix of a
+word has exactly one last piece: the one that the merge order would not have joined otherwise
+with the last piece of what precedes it.  That test (:meth:`Pieces.holds`) only walks down the
+two pieces' own merges, so relaxing needs no priority queue and runs on whole arrays; words
+that are very long are relaxed window by window.
 
 Words are independent because no piece but runs of spaces has a space behind its first
-character, and characters outside the vocabulary, line ends among them, become bytes.
+character, and characters outside the vocabulary, line ends among them, become bytes.  Nothing
+is kept from batch to batch, so memory is bounded by the batch.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from functools import lru_cache
 from hashlib import sha256
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,9 @@ from .common import slices, utf8
 
 SPACE = "▁"
 LONGEST = 16
-CACHE_WORDS = 400_000
-BATCH_BYTES = 1 << 20  # text that a lattice is made of at once
+BATCH_BYTES = 8 << 20  # text whose distinct words are encoded together
+INDEX_CHARS = 1 << 19  # characters of one suffix array
+LONG_WORD = 400  # characters; longer words are relaxed by themselves
 _ROUGH = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+")
 
 
@@ -62,21 +66,35 @@ class Pieces:
             self.plain[i] = bytes([value])
         self._rank()
         self._pack()
-        self.cache: dict[str, bytes] = {}
 
     # -- merges ---------------------------------------------------------------
 
     def merge(self, word: str) -> tuple[list[str], tuple[str, str] | None]:
-        """Byte-pair encoding of a word by its definition, and the last merge made."""
-        parts, last = list(word), None
-        while len(parts) > 1:
-            best = max((self.score[self.ids[p]], -k) if (p := parts[k] + parts[k + 1]) in self.ids else (-np.inf, 0) for k in range(len(parts) - 1))
-            if best[0] == -np.inf:
-                break
-            k = -best[1]
-            last = (parts[k], parts[k + 1])
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts, last
+        """Byte-pair encoding of a word by its definition (best score, then leftmost), and the last merge made."""
+        parts: list[str | None] = list(word)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < len(parts) and (p := parts[i] + parts[j]) in self.ids:
+                heapq.heappush(heap, (-self.score[self.ids[p]], i, j, p))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        last = None
+        while heap:
+            _, i, j, p = heapq.heappop(heap)
+            if parts[i] is None or parts[j] is None or after[i] != j or len(parts[i]) + len(parts[j]) != len(p):
+                continue  # one of the two has been merged since
+            last = (parts[i], parts[j])
+            parts[i], parts[j], after[i] = p, None, after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [p for p in parts if p is not None], last
 
     def _rank(self) -> None:
         """Ranks in merge order, single characters first, and how each piece was merged."""
@@ -104,6 +122,8 @@ class Pieces:
         self.crowded = np.flatnonzero(self.slots[h] != np.arange(len(h)))
         self.crowd_keys = self.pair_keys[self.crowded]
         self.to_id = np.array([self.ids[p] for p in order], np.uint16)
+        self.size_of = np.array([len(p) for p in order], np.int64)
+        self.pairs, self.halves = pairs, (self.left.tolist(), self.right.tolist())
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
@@ -146,12 +166,29 @@ class Pieces:
             live, a, b, limit = live[go], a[go], b[go], limit[go]
         return good
 
+    def holds_one(self, a: int, b: int) -> bool:
+        """:meth:`holds` of one pair."""
+        (left, right), get, limit = self.halves, self.pairs.get, 1 << 39
+        while get(a * 65_536 + b, 1 << 40) >= limit:
+            if a > b:
+                limit, part = a, right[a]
+                if part == a:
+                    return True
+                a = part
+            else:
+                limit, part = b + 1, left[b]
+                if part == b:
+                    return True
+                b = part
+        return False
+
     # -- matching -------------------------------------------------------------
 
     def _pack(self) -> None:
         """Pieces as four integers of four characters each, for binary search."""
         chars = np.array(sorted({ord(c) for p in self.order for c in p}), np.uint32)
-        self.chars = chars
+        self.code_of = np.zeros(0x110000, np.int32)  # 1 and up, 0 where the vocabulary has no such character
+        self.code_of[chars] = np.arange(1, len(chars) + 1)
         self.bits = int(len(chars) + 1).bit_length()
         rank = {p: k for k, p in enumerate(self.order[: self.singles])}
         self.single_rank = np.array([rank[chr(c)] for c in chars], np.int64)
@@ -162,29 +199,45 @@ class Pieces:
             codes[k, : len(p)] = np.searchsorted(chars, np.frombuffer(p.encode("utf-32-le"), np.uint32)) + 1
         top = np.where(np.arange(LONGEST)[None, :] >= size[:, None], (1 << self.bits) - 1, codes)
         self.per_key = 62 // self.bits  # characters in an integer
+        self.n_keys = -(-LONGEST // self.per_key)
         self.piece_lo, self.piece_hi, self.piece_size = self._keys(codes), self._keys(top), size
-        self.piece_codes = codes
 
     def _keys(self, codes: np.ndarray) -> list[np.ndarray]:
-        """The first ``2 * per_key`` characters of each row, as two integers."""
+        """The characters of each row, ``per_key`` to an integer."""
         k = self.per_key
-        wide = np.concatenate([codes, np.zeros((len(codes), 2 * k), np.int64)], axis=1)
-        return [sum((wide[:, j + i] << (k - 1 - i) * self.bits for i in range(k)), np.zeros(len(codes), np.int64)) for j in (0, k)]
+        wide = np.concatenate([codes, np.zeros((len(codes), k), np.int64)], axis=1)
+        return [sum((wide[:, j * k + i] << (k - 1 - i) * self.bits for i in range(k)), np.zeros(len(codes), np.int64)) for j in range(self.n_keys)]
 
     def _suffixes(self, codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The suffix array by the first ``2 * per_key`` characters, with these as two integers.
+        """The suffix array, as far as pieces reach, and each suffix's characters as integers.
 
-        Prefix doubling: suffixes ranked by their first ``per_key`` characters, then by the
-        pair of ranks at their start and ``per_key`` further on.
+        Prefix doubling: suffixes are ranked by their first ``per_key`` characters, then by the
+        ranks at their start and as far on as these reach, until the longest piece is covered
+        or all ranks differ.
         """
         n, k = len(codes), self.per_key
-        padded = np.concatenate([codes, np.zeros(2 * k, np.int64)])
-        packed = np.zeros(n + k, np.int64)
+        reach = self.n_keys * k
+        padded = np.concatenate([codes, np.zeros(reach + k, np.int64)])
+        packed = np.zeros(n + reach, np.int64)
         for i in range(k):
-            packed |= padded[i : i + n + k] << (k - 1 - i) * self.bits
-        rank = np.unique(packed, return_inverse=True)[1]
-        order = np.argsort(rank[:n] * np.int64(n + k) + rank[k:])
-        return order, [packed[order], packed[order + k]]
+            packed |= padded[i : i + n + reach] << (k - 1 - i) * self.bits
+        order = np.argsort(packed)
+        rank, by = self._ranks(packed, order), k
+        while by < LONGEST and rank.max() < len(rank) - 1:
+            later = np.zeros(len(rank), np.int64)
+            later[:-by] = rank[by:]
+            both = rank * len(rank) + later
+            order = np.argsort(both)
+            rank, by = self._ranks(both, order), 2 * by
+        order = order[order < n]
+        return order, [packed[order + j * k] for j in range(self.n_keys)]
+
+    @staticmethod
+    def _ranks(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+        own = keys[order]
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])])
+        return rank
 
     @staticmethod
     def _search(sorted_keys: list[np.ndarray], wanted: list[np.ndarray], after: bool) -> np.ndarray:
@@ -206,39 +259,30 @@ class Pieces:
             hi = np.where(open_ & ~less, mid, hi)
         return lo
 
-    def lattice(self, words: list[str]) -> list[bytes]:
-        """Ids (16 bits each) of distinct words of known characters."""
-        lengths = np.array([len(w) for w in words])
-        text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        ends = np.cumsum(lengths) + np.arange(1, len(words) + 1)  # one separator behind each word
-        begins = ends - lengths - 1
-        n = int(ends[-1])
-        codes = np.zeros(n, np.int64)
-        inside = np.ones(n, bool)
-        inside[ends - 1] = False
-        codes[inside] = np.searchsorted(self.chars, text) + 1
+    def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, piece, size) of all pieces in ``codes`` (0 separates), single characters included."""
         order, packed = self._suffixes(codes)
         lo, hi = self._search(packed, self.piece_lo, False), self._search(packed, self.piece_hi, True)
         found = np.flatnonzero(hi > lo)
         count = (hi - lo)[found]
         shift = np.repeat(lo[found] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-        start = order[np.arange(count.sum()) + shift]
-        piece = np.repeat(found + self.singles, count)
-        size = np.repeat(self.piece_size[found], count)
-        long = np.flatnonzero(size > 2 * self.per_key)  # the rest of long pieces is compared
-        if len(long):
-            span = np.arange(LONGEST)
-            at = np.minimum(start[long][:, None] + span, n - 1)
-            same = (codes[at] == self.piece_codes[piece[long] - self.singles]) | (span >= size[long][:, None])
-            keep = np.ones(len(start), bool)
-            keep[long] = same.all(axis=1) & (start[long] + size[long] <= n)
-            start, piece, size = start[keep], piece[keep], size[keep]
-        own = np.flatnonzero(inside)  # each character by itself
-        start = np.concatenate([start, own])
-        piece = np.concatenate([piece, self.single_rank[codes[own] - 1]])
-        size = np.concatenate([size, np.ones(len(own), np.int64)])
+        own = np.flatnonzero(codes)
+        start = np.concatenate([order[np.arange(count.sum()) + shift], own])
+        piece = np.concatenate([np.repeat(found + self.singles, count), self.single_rank[codes[own] - 1]])
+        return start, piece, self.size_of[piece]
+
+    def lattice(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of known characters, one after another, and how many each has."""
+        ends = np.cumsum(lengths) + np.arange(1, len(lengths) + 1)  # one separator behind each word
+        begins = ends - lengths - 1
+        n = int(ends[-1])
+        text = np.zeros(n, np.int64)
+        inside = np.ones(n, bool)
+        inside[ends - 1] = False
+        text[inside] = codes
+        start, piece, size = self._edges(text)
         # Sort the edges: by how far into its word an edge ends, word, longest first.
-        word = np.repeat(np.arange(len(words)), lengths + 1)[start]
+        word = np.repeat(np.arange(len(lengths)), lengths + 1)[start]
         at = start + size
         key = (at - begins[word]) << 40 | word << 6 | (LONGEST - size)
         sort = np.argsort(key)
@@ -251,63 +295,106 @@ class Pieces:
         for p in range(len(layer) - 1):
             now, stop = group[layer[p] : layer[p + 1]].copy(), group_end[layer[p] : layer[p + 1]]
             while len(now):
-                whole = start[now] == begins[word[now]]
-                good = whole.copy()
-                rest = np.flatnonzero(~whole)
+                good = start[now] == begins[word[now]]
+                rest = np.flatnonzero(~good)
                 good[rest] = self.holds(last[start[now[rest]]], piece[now[rest]])
                 last[at[now[good]]] = piece[now[good]]
                 now, stop = now[~good] + 1, stop[~good]
                 more = now < stop
                 now, stop = now[more], stop[more]
         # Walk back from each word's end.
-        width = np.ones(len(self.order), np.int64)
-        width[self.singles :] = self.piece_size
-        where, who, taken, owner = ends - 1, np.arange(len(words)), [], []
+        where, who, taken, owner = ends - 1, np.arange(len(lengths)), [], []
         while len(where):
             piece = last[where]
             taken.append(piece)
             owner.append(who)
-            where = where - width[piece]
+            where = where - self.size_of[piece]
             live = where > begins[who]
             where, who = where[live], who[live]
         turn = np.repeat(np.arange(len(taken))[::-1], [len(t) for t in taken])
         taken, owner = np.concatenate(taken), np.concatenate(owner)
         sort = np.argsort(owner << 32 | turn)
-        flat = self.to_id[taken[sort]].tobytes()
-        cut = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))]) * 2
-        return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return self.to_id[taken[sort]], np.bincount(owner, minlength=len(lengths))
+
+    def long_word(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of one long word: its edges are found and relaxed a window at a time."""
+        n = len(codes)
+        last = np.zeros(n + 1, np.uint16)
+        for lo in range(0, n, INDEX_CHARS):
+            hi, back = min(n, lo + INDEX_CHARS), max(0, lo - LONGEST)
+            start, piece, size = self._edges(np.append(codes[back:hi], 0).astype(np.int64))
+            end = start + size
+            sort = np.lexsort((-size, end))
+            sort = sort[end[sort] > lo - back]
+            done = 0
+            for a, x, e in zip((start[sort] + back).tolist(), piece[sort].tolist(), (end[sort] + back).tolist(), strict=True):
+                if e > done and (a == 0 or self.holds_one(int(last[a]), x)):
+                    last[e], done = x, e
+        out, at = [], n
+        while at:
+            out.append(last[at])
+            at -= int(self.size_of[last[at]])
+        return self.to_id[np.array(out[::-1], np.int64)]
 
     # -- texts ----------------------------------------------------------------
 
-    def learn(self, words: set[str]) -> None:
-        """Put the ids of ``words`` into the cache; characters outside the vocabulary split them."""
-        parts: dict[str, list[str]] = {}
-        fresh: dict[str, bytes] = {}
-        known = self.ids.keys()
-        for w in words:
-            full = w if w[:1] in ("\n", SPACE) else SPACE + w
-            if known >= set(full):
-                parts[w] = [full]
-                fresh[full] = b""
-                continue
-            pieces, held = [], ""
-            for c in full:
-                if c in known:
-                    held += c
-                else:
-                    pieces += [held, c] if held else [c]
-                    held = ""
-            parts[w] = [*pieces, held] if held else pieces
-            fresh.update((p, b"") for p in parts[w])
-        plain = [p for p in fresh if not p.startswith(SPACE * 2) and p[0] in known]
-        if plain:
-            fresh.update(zip(plain, self.lattice(plain), strict=True))
-        for p in fresh:
-            if p[0] not in known:
-                fresh[p] = np.array([self.bytes[b] for b in p.encode()], np.uint16).tobytes()
-            elif p.startswith(SPACE * 2):  # runs of spaces tie in score: by the definition
-                fresh[p] = np.array([self.ids[x] for x in self.merge(p)[0]], np.uint16).tobytes()
-        self.cache.update((w, b"".join(fresh[p] for p in own)) for w, own in parts.items())
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids (16 bits each) of distinct words; characters outside the vocabulary split them."""
+        out: list[bytes] = []
+        full = [w if w[:1] in ("\n", SPACE) else SPACE + w for w in words]
+        size = np.fromiter(map(len, full), np.int64, len(full))
+        ends = np.cumsum(size)
+        lo = 0
+        while lo < len(full):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + INDEX_CHARS, "right")))
+            out += self._some_ids(full[lo:hi], size[lo:hi])
+            lo = hi
+        return out
+
+    def _some_ids(self, full: list[str], size: np.ndarray) -> list[bytes]:
+        text = np.frombuffer("".join(full).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = self.code_of[text]
+        # Units: stretches of known characters within a word, and single unknown characters.
+        word_at = np.concatenate([[0], np.cumsum(size)])
+        known = codes > 0
+        new = np.ones(len(text), bool)
+        new[1:] = ~(known[1:] & known[:-1])
+        new[word_at[:-1]] = True
+        unit = np.flatnonzero(new)
+        unit_size = np.diff(np.append(unit, len(text)))
+        is_known = known[unit]
+        spaces = is_known & (unit_size > 1) & (text[unit] == ord(SPACE)) & (text[np.minimum(unit + 1, len(text) - 1)] == ord(SPACE))
+        long = is_known & ~spaces & (unit_size > LONG_WORD)
+        short = is_known & ~spaces & ~long
+        count = np.zeros(len(unit), np.int64)
+        made: list[tuple[np.ndarray, np.ndarray]] = []  # units and their ids, one after another
+        if short.any():
+            inside = np.repeat(short, unit_size)
+            flat, count[short] = self.lattice(codes[inside], unit_size[short])
+            made.append((np.flatnonzero(short), flat))
+        for i in np.flatnonzero(long).tolist():
+            flat = self.long_word(codes[unit[i] : unit[i] + unit_size[i]])
+            count[i] = len(flat)
+            made.append((np.array([i]), flat))
+        for i in np.flatnonzero(spaces).tolist():  # runs of spaces tie in score: by the definition
+            run = text[unit[i] : unit[i] + unit_size[i]].tobytes().decode("utf-32-le")
+            flat = np.array([self.ids[x] for x in self.merge(run)[0]], np.uint16)
+            count[i] = len(flat)
+            made.append((np.array([i]), flat))
+        others = np.flatnonzero(~is_known)
+        for c in np.unique(text[unit[others]]).tolist():
+            own = others[text[unit[others]] == c]
+            flat = np.array([self.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")], np.uint16)
+            count[own] = len(flat)
+            made.append((own, np.tile(flat, len(own))))
+        at = np.concatenate([[0], np.cumsum(count)])
+        ids = np.empty(at[-1], np.uint16)
+        for units, flat in made:
+            n = count[units]
+            ids[np.arange(len(flat)) + np.repeat(at[units] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)] = flat
+        cut = (at[np.searchsorted(unit, word_at)] * 2).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -322,17 +409,9 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, 16 bits each, little-endian."""
         split = [self.words(t) for t in texts]
-        every = set().union(*split)
-        if missing := every - self.cache.keys():
-            if len(self.cache) + len(missing) > CACHE_WORDS:  # keep the first half: frequent words come early
-                own = {w: self.cache[w] for w in every - missing}  # and what this batch needs
-                self.cache = dict(islice(self.cache.items(), CACHE_WORDS // 2)) | own
-            self.learn(missing)
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, w)) for w in split]
-        if len(self.cache) > CACHE_WORDS:  # one batch had more words
-            self.cache = dict(islice(self.cache.items(), CACHE_WORDS // 2))
-        return out
+        every = list(set().union(*split))
+        get = dict(zip(every, self.word_ids(every), strict=True)).__getitem__
+        return [b"".join(map(get, w)) for w in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids; the space that encoding put in front goes away."""
