@@ -1,7 +1,8 @@
 """A quality classifier on supervised subword embeddings.
 
-A text is a bag of hashed words and character n-grams.  Every bucket of the hash has a
-learned vector; a document is the average of its buckets' vectors, a softmax layer turns that
+A text is a bag of hashed words, word 2-grams and character n-grams.  Every bucket of the hash
+has a learned vector; a document is the average of its buckets' vectors, in which n occurrences
+of a bucket weigh as much as the square root of n.  A softmax layer turns that
 into class probabilities, and both are trained by plain stochastic gradient descent in numpy
 on a bounded, documented sample of labelled rows.  Averaging and the layer are linear, so the
 learned vectors fold into one number per bucket; scoring a text is the logistic function of
@@ -13,17 +14,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, slices, utf8, words_of
 
-TRAIN_ROWS = 3000  # labelled rows that a model is fitted on, chosen by a hash of their id
+TRAIN_ROWS = 5000  # labelled rows that a model is fitted on, chosen by a hash of their id
 BITS = 15
 GRAMS = (2, 4)  # lengths of character n-grams
-REPEATED = np.uint64(0x9E3779B97F4A7C15)
+TEXTS = 32
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,9 +31,9 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     words, starts, _ = words_of(raw, offsets)
     text_of = np.searchsorted(offsets[1:], starts, "right")
     parts = [(words, np.searchsorted(starts, offsets))]
-    # A word that repeats the one before it is a word 2-gram of its own kind: one bucket.
-    twice = np.flatnonzero((words[1:] == words[:-1]) & (text_of[1:] == text_of[:-1])) + 1 if len(words) else np.zeros(0, np.int64)
-    parts.append((np.full(len(twice), REPEATED, np.uint64), np.searchsorted(starts[twice], offsets)))
+    pairs = np.flatnonzero(text_of[1:] == text_of[:-1]) if len(words) else np.zeros(0, np.int64)
+    both = mix64(words[pairs] * np.uint64(0xA0761D6478BD6431) + words[pairs + 1])
+    parts.append((both, np.searchsorted(starts[pairs], offsets)))
     # Code points: bytes that do not continue a character start one.
     heads = np.flatnonzero((raw & 0xC0) != 0x80)
     chars = mix64(_code_points(raw, heads))
@@ -87,23 +87,27 @@ class Model:
     def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """P(label 1) of each text; a text without features gets the bias alone."""
         buckets, ends = features(raw, offsets)
-        total = np.concatenate([[0.0], np.cumsum(self.weights[buckets], dtype=np.float64)])
-        count = np.maximum(ends[1:] - ends[:-1], 1)
-        return 1 / (1 + np.exp(-np.clip((total[ends[1:]] - total[ends[:-1]]) / count + self.bias, -60, 60)))
-
-
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int = 8, epochs: int = 8, rate: float = 0.5, spread: float = 50.0, seed: int = 7) -> Model:
-    """Stochastic gradient descent over bags (buckets, counts), one document a step."""
+        out = []
+        for lo in range(0, len(ends) - 1, TEXTS):  # a table of counts for a few texts at a time
+            cut = ends[lo : lo + TEXTS + 1]
+            size = np.diff(cut)
+            key = buckets[cut[0] : cut[-1]] + np.repeat(np.arange(len(size)) << BITS, size)
+            counts = np.bincount(key, minlength=len(size) << BITS).reshape(len(size), 1 << BITS)
+            out.append((np.sqrt(counts) * self.weights).sum(axis=1) / np.maximum(size, 1))
+        return 1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *out]) + self.bias, -60, 60)))
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int = 8, epochs: int = 12, rate: float = 1.0, spread: float = 50.0, seed: int = 7) -> Model:
+    """Stochastic gradient descent over bags (buckets, shares in the average), one document a step."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     layer, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
     steps, done = max(1, epochs * len(bags)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
-            buckets, counts = bags[i]
+            buckets, share = bags[i]
             now = rate * (1 - done / steps)
             done += 1
-            share = (counts / max(1.0, counts.sum())).astype(np.float32)
             hidden = share @ vectors[buckets] if len(buckets) else np.zeros(dim, np.float32)
             z = layer @ hidden + bias
             p = np.exp(z - z.max())
@@ -119,6 +123,12 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int
     return Model((vectors @ fold).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def bag(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of one text, and the share of each in its average."""
+    own, counts = np.unique(buckets, return_counts=True)
+    return own.astype(np.uint16), (np.sqrt(counts) / max(1, len(buckets))).astype(np.float32)
+
+
 def _fit(batches):
     rows = []
     for batch in batches:
@@ -126,9 +136,7 @@ def _fit(batches):
         keys, labels = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for lo, hi in slices(offsets):
             buckets, ends = features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            for i in range(hi - lo):
-                own, counts = np.unique(buckets[ends[i] : ends[i + 1]], return_counts=True)
-                rows.append((keys[lo + i], own.astype(np.uint16), counts.astype(np.float32), int(labels[lo + i])))
+            rows += [(keys[lo + i], *bag(buckets[ends[i] : ends[i + 1]]), int(labels[lo + i])) for i in range(hi - lo)]
     rows.sort(key=lambda r: (r[0], r[3], len(r[1])))
     model = train([(r[1], r[2]) for r in rows], [r[3] for r in rows])
     yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
@@ -191,17 +199,18 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows:
     ``taught_by``: documents that the labels speak of, if not ``docs``.
     """
     model = fit_quality(docs if taught_by is None else taught_by, labels, rows)
-    return docs.where(_score_udf(model)(F.col("text")) >= threshold)
+    return docs.where(_score_udf(model)(docs["text"]) >= threshold)
 
 
 def _score_udf(model: Model):
     weights, bias = model.weights.tobytes(), model.bias
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    def scored(texts: pa.Array) -> pa.Array:
         own = Model(np.frombuffer(weights, np.float32), bias)
-        offsets, raw = utf8(pa.array(texts, pa.string(), from_pandas=True))
+        offsets, raw = utf8(texts)
         parts = [own.scores(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in slices(offsets)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return scored
+    # The types as objects: this module's annotations are strings.
+    scored.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf("double")(scored)
