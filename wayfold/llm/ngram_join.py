@@ -10,12 +10,16 @@ Blocks that no shingle reached say nothing; a text with at most ``E`` of them ne
 and the few texts with more also offer their empty blocks, so no link is lost.  A text offers
 its blocks in each band that a linked smaller text may have.
 
-Candidates.  Texts that share a block meet under one key.  Nobody emits all pairs of a key:
-round 1 checks every member against the key's first member; when the links found have been
-closed into components, round 2 takes only members that are still in other components than
-their key's first member and checks them against the members of other components.  A folded
-512-bit parity sketch discards pairs whose Hamming distance already exceeds the bound, and
-what is left is verified on the full shingle sets.
+Candidates.  Texts with equal sets are one text from the start, named by the smallest id.  Texts
+that share a block meet under one key.  Nobody emits all pairs of a key: in each round a key
+names leaders, and every member is checked against these alone.  The links found are closed
+into components, and a key is done when all its members that have not led are in one component.
+The first leader of a key is its first member; later ones are those with the most links, which
+are the texts that copies were made of, so that groups of near copies close in a round or two.
+The number of leaders doubles from round to round, so keys whose members are alike but not
+linked take a logarithmic number of rounds.  A folded 512-bit parity sketch, in the join's
+condition, discards pairs whose Hamming distance already exceeds the bound, and what is left is
+verified on the full shingle sets.
 
 Result: one row per document with its component, so copies are never expanded into pairs.
 """
@@ -148,14 +152,14 @@ def _summaries(n: int, num: int, den: int):
                 for tokens in shingle_sets(at, raw[offsets[lo] : offsets[hi]], n):
                     keys.append(block_keys(tokens, bands).view(np.int64))
                     sizes.append(len(tokens))
-                    marks.append(xxhash.xxh3_64_intdigest(tokens.tobytes()))
+                    marks.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                     sketches.append(folded_sketch(tokens))
                     wides.append(wide_sketch(tokens))
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 wide = np.array(sketches, np.uint64).view(np.int64)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array(sizes, pa.int64()), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(wides, pa.binary())] + [pa.array(wide[:, i]) for i in range(SKETCH_WORDS)],
+                    [batch.column(0)[lo:hi], pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(wides, pa.binary())] + [pa.array(wide[:, i]) for i in range(SKETCH_WORDS)],
                     ["id", "n", "mark", "keys", "wide"] + [f"s{i}" for i in range(SKETCH_WORDS)],
                 )
 
@@ -205,51 +209,121 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
     Words are maximal runs of other characters than space and controls 9 to 13, with A-Z
     lower-cased.  A text with fewer than ``n`` words is one shingle; a null, empty or blank
     text has none and links with nothing.  Rows that repeat an id link through that id and
-    each keep a row.  Rows with a null id get a null component.  Other columns are ignored,
-    so clashing names do no harm.  An empty table gives an empty result.
+    each keep a row, whatever their texts.  Rows with a null id get a null component.  Other
+    columns are ignored, so clashing names do no harm.  An empty table gives an empty result.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = narrow.mapInArrow(_summaries(n, num, den), f"id long, n long, mark long, keys array<long>, wide binary, {_SKETCH}")
+    if narrow.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
+        # Rows get numbers of their own; those of one id are linked, and classes named by ids again.
+        rows = materialize(narrow.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "rows")
+        named = rows.select("row", "id")
+        same = named.where("id is not null").join(named.where("id is not null").groupBy("id").agg(F.min("row").alias("b")), "id").select(F.col("row").alias("a"), "b")
+        found = materialize(_classes(rows.where("id is not null").select(F.col("row").alias("id"), "text"), n, num, den, same), "classes")
+        found = found.withColumnRenamed("id", "row").join(named, "row")
+        least = found.groupBy("component").agg(F.min("id").alias("least"))
+        found = found.join(least, "component").select("id", "n", F.col("least").alias("component"))
+        unnamed = rows.where("id is null").select("id", "text").mapInArrow(_counts(n), "id long, n long")
+        found = found.union(unnamed.select("id", "n", F.lit(None).cast("long")))
+    else:
+        found = _classes(narrow, n, num, den)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _classes(narrow: DataFrame, n: int, num: int, den: int, known: DataFrame | None = None) -> DataFrame:
+    """(id, n, component) of (id, text); ids are distinct or null, ``known`` are links (a, b) besides."""
+    made = narrow.mapInArrow(_summaries(n, num, den), f"id long, n long, mark binary, keys array<long>, wide binary, {_SKETCH}")
     made = materialize(made, "sketch")
-    facts, sketches = made.drop("keys", "wide"), made.select("id", "n", "wide")
+    # Equal sets have equal marks of 128 bits; the smallest id stands for them.
+    some = made.where("n > 0 and id is not null")
+    firsts = materialize(some.groupBy("n", "mark").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "firsts")
+    copies = some.select("id", "n", "mark").join(firsts.where("copies > 1").select("n", "mark", "rep"), ["n", "mark"])
+    copies = materialize(copies.where("id <> rep").select("id", "rep"), "copies")
+    few = maybe_broadcast(copies.select("id"), copies.count())
+    reps = some.join(few, "id", "left_anti")
+    facts, sketches = reps.drop("keys", "wide", "mark"), reps.select("id", "n", "wide")
 
     # One streaming pass over each key's members in order: the first member leads.
-    flat = made.where("n > 0 and id is not null").select("id", F.explode("keys").alias("key"))
+    flat = reps.select("id", F.explode("keys").alias("key"))
     led = flat.withColumn("lead", F.first("id").over(Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)))
     members = materialize(led.where("id <> lead"), "members")
-
     pairs = members.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verify(pairs, facts, sketches, narrow, n, num, den)
-    parts = connected_components(links)
-
-    # Members that the links so far leave outside their leader's component.
-    parts = materialize(parts, "parts")
-    few = maybe_broadcast(parts, parts.count())
-    apart = members.join(few.select("id", F.col("component").alias("ci")), "id", "left").join(few.select(F.col("id").alias("lead"), F.col("component").alias("cl")), "lead", "left")
-    apart = apart.select("key", "id", "lead", F.coalesce("ci", "id").alias("ci"), F.coalesce("cl", "lead").alias("cl"))
-    left = materialize(apart.where("ci <> cl"), "apart")
-    if left.limit(1).count():
-        more = _verify(_cross_pairs(left, apart, facts, num, den), facts, sketches, narrow, n, num, den)
-        parts = connected_components(materialize(links.union(more), "links"))
-    out = facts.select("id", "n").join(parts, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-
-
-def _cross_pairs(left: DataFrame, apart: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of unlinked members of a key in different components, first members aside.
-
-    The size bound and the sketch distance are part of the join's condition, so pairs that
-    cannot link are never emitted.
-    """
-    keys = left.select("key").distinct()
-    everyone = apart.join(keys, "key", "left_semi").select("key", "id", "ci")
-    facts = facts.dropDuplicates(["id"])
-    known = lambda df, p: df.join(facts, "id").select("key", *[F.col(c).alias(p + c) for c in ("id", "ci", "n", *[f"s{i}" for i in range(SKETCH_WORDS)])])
-    x, y = known(left.select("key", "id", "ci"), "x"), known(everyone, "y")
-    x, y = x.withColumnRenamed("key", "xkey"), y.withColumnRenamed("key", "ykey")
-    apart_by = sum((F.bit_count(F.col(f"xs{i}").bitwiseXOR(F.col(f"ys{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    fits = (F.col("xkey") == F.col("ykey")) & (F.col("xci") != F.col("yci")) & _within(F.col("xn"), F.col("yn"), apart_by, num, den)
-    return x.join(y, fits).select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")).distinct()
+    links = _verify(_near_pairs(pairs, facts, num, den), sketches, narrow, n, num, den)
+    if known is not None:  # links to a copy are links to what stands for it
+        named = copies.withColumnRenamed("id", "x")
+        side = lambda df, c: df.join(named.withColumnRenamed("x", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
+        links = materialize(links.union(side(side(known, "a"), "b").select("a", "b").where("a <> b")).distinct(), "links")
+    parts = materialize(connected_components(links), "parts")
+
+    members, leaders = members.select("key", "id"), 1
+    while True:
+        members = materialize(_open_members(members, parts, links), "open")
+        if not members.limit(1).count():
+            break
+        by_links = Window.partitionBy("key").orderBy(F.desc("degree"), "id")
+        ranked = members.withColumn("rn", F.row_number().over(by_links))
+        chosen = materialize(ranked.where(F.col("rn") <= leaders).select("key", F.col("id").alias("lead"), F.col("part").alias("lead_part")), "leaders")
+        more = _verify(_led_pairs(members, chosen, facts, num, den), sketches, narrow, n, num, den)
+        if more.limit(1).count():
+            links = materialize(links.union(more).distinct(), "links")
+            # What was closed stays closed: only components meet.
+            named = parts.select("id", "component")
+            ends = more.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left")
+            ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            merged = materialize(connected_components(ends), "merged")
+            known_ids = parts.join(merged.toDF("component", "into"), "component", "left").select("id", F.coalesce("into", "component").alias("component"))
+            new_ids = merged.join(parts.select("id"), "id", "left_anti")
+            parts = materialize(known_ids.union(new_ids.select("id", "component")), "parts")
+        members = members.select("key", "id").join(chosen.select("key", F.col("lead").alias("id")), ["key", "id"], "left_anti")
+        leaders *= 2
+    of_rep = parts.toDF("rep", "component")
+    out = made.select("id", "n").join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+    return out.join(of_rep, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
+
+
+def _open_members(members: DataFrame, parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, id, part, degree): members of keys that are not in one component yet, with their links."""
+    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
+    known = parts.join(degree, "id", "left").select("id", F.col("component").alias("part"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    every = members.join(maybe_broadcast(known, parts.count()), "id", "left").select("key", "id", F.coalesce("part", "id").alias("part"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    every = materialize(every, "every")
+    keys = every.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    return every.join(keys, "key", "left_semi")
+
+
+def _counts(n: int):
+    def run(batches):
+        for batch in batches:
+            offsets, raw = utf8(batch.column(1))
+            for lo, hi in slices(offsets):
+                sizes = [len(t) for t in shingle_sets(offsets[lo : hi + 1] - offsets[lo], raw[offsets[lo] : offsets[hi]], n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(sizes, pa.int64())], ["id", "n"])
+
+    return run
+
+
+_FACTS = ["n", *[f"s{i}" for i in range(SKETCH_WORDS)]]
+
+
+def _side(facts: DataFrame, p: str, as_id: str) -> DataFrame:
+    return facts.select(F.col("id").alias(as_id), *[F.col(c).alias(p + c) for c in _FACTS])
+
+
+def _fits(num: int, den: int):
+    distance = sum((F.bit_count(F.col(f"xs{i}").bitwiseXOR(F.col(f"ys{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
+    return _within(F.col("xn"), F.col("yn"), distance, num, den)
+
+
+def _near_pairs(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sizes and folded sketches allow a link."""
+    return pairs.join(_side(facts, "x", "a"), "a").join(_side(facts, "y", "b"), "b").where(_fits(num, den)).select("a", "b")
+
+
+def _led_pairs(members: DataFrame, leaders: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a key's leaders with its members in other components, as far as sketches allow a link."""
+    x = leaders.join(_side(facts, "x", "lead"), "lead")
+    y = members.select(F.col("key").alias("ykey"), "id", "part").join(_side(facts, "y", "id"), "id")
+    j = x.join(y, (F.col("key") == F.col("ykey")) & (F.col("lead_part") != F.col("part")) & _fits(num, den))
+    return j.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
 
 
 def _within(p, q, distance, num: int, den: int):
@@ -257,25 +331,21 @@ def _within(p, q, distance, num: int, den: int):
     return (F.least(p, q) * den >= F.greatest(p, q) * num) & (distance * (den + num) <= (p + q) * (den - num))
 
 
-def _verify(pairs: DataFrame, facts: DataFrame, sketches: DataFrame, narrow: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _verify(pairs: DataFrame, sketches: DataFrame, narrow: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose shingle sets link.
 
-    Sizes and folded sketches come first, then sketches that are wide for large sets; only
-    documents of pairs that pass both have their sets read again.
+    Sketches that are wide for large sets come first; only documents of pairs that pass have
+    their sets read again.
     """
-    cols = ["n", "mark", *[f"s{i}" for i in range(SKETCH_WORDS)]]
-    facts = facts.dropDuplicates(["id"])
-    side = lambda p, as_id: facts.select(F.col("id").alias(as_id), *[F.col(c).alias(p + c) for c in cols])
-    distance = sum((F.bit_count(F.col(f"xs{i}").bitwiseXOR(F.col(f"ys{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    near = pairs.join(side("x", "a"), "a").join(side("y", "b"), "b").where(_within(F.col("xn"), F.col("yn"), distance, num, den))
-    near = materialize(near.select("a", "b", ((F.col("xmark") == F.col("ymark")) & (F.col("xn") == F.col("yn"))).alias("same")), "near")
-    same, doubt = near.where("same").select("a", "b"), near.where("not same").select("a", "b")
-    wide = _of(doubt, sketches.dropDuplicates(["id"]))
-    both = doubt.join(wide.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b")
+    near = materialize(pairs, "near")
+    wide = _of(near, sketches)
+    both = near.join(wide.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b")
     doubt = materialize(both.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_near(num, den), "a long, b long"), "doubt")
+    if not doubt.limit(1).count():
+        return doubt
     sets = materialize(_of(doubt, narrow.where("id is not null")).select("id", "text").mapInArrow(_sets(n), "id long, tokens binary"), "sets")
     joined = doubt.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    return materialize(joined.select("a", "b", "ta", "tb").mapInArrow(_linked(num, den), "a long, b long").union(same).distinct(), "links")
+    return materialize(joined.select("a", "b", "ta", "tb").mapInArrow(_linked(num, den), "a long, b long"), "links")
 
 
 def _of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
