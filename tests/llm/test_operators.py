@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wayfold.llm import chat, mixing, mjpeg, quality, sstable, warc
@@ -86,6 +87,26 @@ def test_components_of_odd_rows(spark, odd, empty):
     assert ngram_jaccard_components(empty).collect() == []
 
 
+def test_repeated_ids_with_other_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(words[::-1]), " ".join(words[30:] + words[:30][::-1])
+    rows = [(5, a), (5, b), (3, a + " end"), (9, b), (7, c), (7, c), (1, "alone here now"), (None, a), (None, None)]
+    got = sorted((r.doc_id, r.component_id) for r in ngram_jaccard_components(documents(spark, rows)).collect() if r.doc_id is not None)
+    assert got == [(1, 1), (3, 3), (5, 3), (5, 3), (7, 7), (7, 7), (9, 3)]
+    assert ngram_jaccard_components(documents(spark, rows)).where("doc_id is null and component_id is null").count() == 2
+
+
+def test_one_key_of_many_unlinked_members(spark):
+    """A common passage gives one key to all texts; some link, most do not, none may be lost."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(45)]
+    rows = [(i, " ".join(passage + [f"u{i}x{j}" for j in range(15)])) for i in range(240)]
+    rows += [(1000 + i, " ".join(passage + [f"u{i}x{j}" for j in range(13)] + ["y", "z"])) for i in rng.sample(range(240), 40)]
+    rows += [(2000 + i, " ".join(passage)) for i in range(3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_components(documents(spark, rows), n=4, num=85, den=100).collect()}
+    assert got == components_by_pairs(rows, 4, 85, 100)
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(3)
     for _ in range(50):
@@ -369,6 +390,20 @@ def test_shards_hold_what_the_library_encodes(spark, odd):
     assert sstable.lookup(folder, manifest, 1) == []
 
 
+def test_shards_are_cut_by_size(spark, monkeypatch):
+    monkeypatch.setattr(sstable, "SHARD_DOCS", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 8 + [1] * 2, pa.int32()), pa.array(list(range(10)), pa.int64()), pa.array([bytes([i, 0]) for i in range(10)], pa.binary())], ["part", "id", "ids"])
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        rows = [r for b in sstable._write(folder, 2)([batch]) for r in b.to_pylist()]
+        assert [(r["part"], r["docs"]) for r in rows] == [(0, 3), (0, 3), (0, 2), (1, 2)] and [r["seq"] for r in rows] == [0, 1, 2, 3]
+        assert [(sstable.ident_of(r["lowest"]), sstable.ident_of(r["highest"])) for r in rows] == [(0, 2), (3, 5), (6, 7), (8, 9)]
+        with open(f"{folder}/{rows[1]['name']}", "rb") as f:
+            shard = sstable.Shard(pa.PythonFile(f))
+            assert [int(shard.get(i)[0][0]) for i in (3, 4, 5)] == [3, 4, 5] and shard.get(6) == []
+
+
 def test_shards_of_odd_rows(spark, odd, empty):
     assert len(sstable.index_of_tokens(odd).collect()) == len(ODD)
     assert sstable.index_of_tokens(empty).collect() == []

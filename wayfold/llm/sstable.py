@@ -8,7 +8,9 @@ the keys and a footer of fixed size.  A lookup reads the footer, asks the filter
 index by bisection and reads one block.
 
 Shards are written through the file system of the shared folder under names of their own and
-listed in a manifest; only listed files are read, so a task that runs again leaves no double.
+listed in a manifest with their first and last key; only listed files are read, so a task that
+runs again leaves no double, and a lookup opens only shards that can hold its key.  A writer
+begins a new shard at a size in bytes or entries, so what it holds does not grow with the data.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, range_bucket, range_cuts, shared_dir, shuffle_parts, slices, utf8
@@ -38,7 +40,10 @@ BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 _FOOTER = struct.Struct("<QQQQQQQ8s")  # index place and size, filter place and size, documents, ids, bytes of an id
 _ENTRY = struct.Struct("<BBI")  # shared prefix, rest of the key, bytes of the value
 _INDEX = struct.Struct("<9sQIIQQ")  # first key, place, size, crc32, documents before, ids before
+SHARD_BYTES, SHARD_DOCS = 256 << 20, 1 << 20
 CACHE_WORDS = 500_000
+CACHE_LETTERS = 64  # longer words are not kept
+JOINED_WORDS = 256
 
 
 def key_of(ident: int | None) -> bytes:
@@ -76,7 +81,9 @@ class Writer:
             self.first = key
         self.block += [_ENTRY.pack(shared, len(key) - shared, len(value)), key[shared:], value]
         self.size += _ENTRY.size + len(key) - shared + len(value)
-        self.last = key
+        if not self.docs:
+            self.lowest = key
+        self.last = self.highest = key
         self.docs += 1
         self.ids += len(value) // self.width
         self.keys.append(key)
@@ -91,6 +98,9 @@ class Writer:
             self.at += len(raw)
         self._start()
 
+    def full(self) -> bool:
+        return self.at >= SHARD_BYTES or self.docs >= SHARD_DOCS
+
     def close(self) -> None:
         self._flush()
         index = b"".join(self.index)
@@ -175,7 +185,8 @@ class WordEncoder:
     The pattern that such a tokenizer splits texts by always has a border before a single
     space that follows and precedes other characters, and around a single line end.  Between
     these borders a text's ids do not depend on the rest of it, so the library encodes each
-    distinct word once and a cache of bounded size serves repeats.  Texts in which white
+    distinct word once, thousands of them joined by spaces, and a cache of bounded size serves
+    repeats.  Texts in which white
     space meets white space in ways that this does not cover are encoded as a whole, as are
     texts that hold an added token's string.
     """
@@ -191,11 +202,11 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.line_end = self._bytes(self._ids("\n"))
+        self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)  # tokens that begin with a space
+        for token, i in self.tokenizer.get_vocab().items():
+            self.begins[i] = token.startswith("\u0120")
         self.cache: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes shown as themselves, the others from 256 on
-        others = (b for b in range(256) if b not in set(plain))
-        self.shown = dict(zip(plain, map(chr, plain), strict=True)) | {b: chr(256 + i) for i, b in enumerate(others)}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -204,35 +215,52 @@ class WordEncoder:
         return np.array(ids, self.kind).tobytes()
 
     def learn(self, words: set[str]) -> None:
-        cache, rest = self.cache, []
+        """Put the ids of ``words`` into the cache; letters and the signs behind them go apart, as they do in the pattern."""
+        cache, rest, alone, stems, bare = self.cache, [], [], set(), set()
+        split, own_stem = [], []
         for w in words:
             if not w or w == "\n" or w[w[0] == "\n"].isspace():
                 cache[w] = self.ODD
                 continue
-            line, word = (self.line_end, w[1:]) if w[0] == "\n" else (b"", w)
+            line = w[0] == "\n"
+            word = w[1:] if line else w
             stem = word.rstrip(_SIGNS)
             if stem.isalpha():
-                own = cache.get(stem) if not line else None
-                if own is None:
-                    own = self._letters(stem, not line)
-                    if not line:
-                        cache[stem] = own
-                cache[w] = line + own + self._signs(word[len(stem) :]) if line or len(stem) < len(word) else own
+                split.append(w)
+                own_stem.append(stem)
+                if line:
+                    bare.add(stem)
+                elif stem not in cache:
+                    stems.add(stem)
+            elif line or w[-1].isspace():
+                alone.append(w)
             else:
                 rest.append(w)
-        texts = [w[1:] if w[0] == "\n" else " " + w for w in rest]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            own = self._bytes(e.ids)
-            cache[w] = self.line_end + own if w[0] == "\n" else own
-
-    def _letters(self, stem: str, spaced: bool) -> bytes:
-        """Ids of a word of letters alone: one pretoken, which goes to the library's model."""
-        if not stem.isascii():
-            stem = "".join(map(self.shown.__getitem__, stem.encode()))
-        return self._bytes([t.id for t in self.tokenizer.model.tokenize("\u0120" + stem if spaced else stem)])
+        self._joined([*stems, *rest])
+        texts = [*bare, *(w[1:] if w[0] == "\n" else " " + w for w in alone)]
+        own = [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        first = dict(zip(bare, own, strict=False))
+        for w, ids in zip(alone, own[len(bare) :], strict=True):
+            cache[w] = self.line_end + ids if w[0] == "\n" else ids
+        for w, stem in zip(split, own_stem, strict=True):
+            if w[0] == "\n":
+                cache[w] = self.line_end + first[stem] + self._signs(w[len(stem) + 1 :])
+            elif len(w) > len(stem):
+                cache[w] = cache[stem] + self._signs(w[len(stem) :])
+
+    def _joined(self, words: list[str]) -> None:
+        """Words that neither begin a line nor end with white space: where a token begins with a space, so does a word."""
+        groups = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            cut = np.append(np.flatnonzero(self.begins[ids]), len(ids))
+            if len(cut) != len(g) + 1:
+                raise ValueError("spaces do not separate words in this tokenizer")
+            raw, cut = ids.tobytes(), (cut * self.width).tolist()
+            self.cache.update((w, raw[a:b]) for w, a, b in zip(g, cut[:-1], cut[1:], strict=True))
 
     def _signs(self, tail: str) -> bytes:
-        """Ids of a run of signs behind letters: one pretoken as well."""
+        """Ids of a run of signs behind letters: one pretoken."""
         if len(self.tails) > 10_000:
             self.tails.clear()
         if tail not in self.tails:
@@ -245,9 +273,6 @@ class WordEncoder:
         split = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t and not w else [] for t, w in zip(texts, whole, strict=True)]
         every = set().union(*split)
         if missing := every - self.cache.keys():
-            if len(self.cache) + len(missing) > CACHE_WORDS:  # keep the first half: frequent words come early
-                own = {w: self.cache[w] for w in every - missing}  # and what this batch needs
-                self.cache = dict(islice(self.cache.items(), CACHE_WORDS // 2)) | own
             self.learn(missing)
         get, stop, skip = self.cache.__getitem__, self._bytes([end]), len(self.line_end)
         out = []
@@ -257,7 +282,10 @@ class WordEncoder:
                 out.append(self._bytes(self._ids(text)) + stop)
             else:
                 out.append(b"".join(parts)[skip:] + stop)  # without the line end put in front
-        if len(self.cache) > CACHE_WORDS:  # one batch had more words
+        for w in missing:  # what this batch brought; long words are not kept
+            if len(w) > CACHE_LETTERS:
+                del self.cache[w]
+        if len(self.cache) > CACHE_WORDS:  # keep the first half: frequent words come early
             self.cache = dict(islice(self.cache.items(), CACHE_WORDS // 2))
         return out
 
@@ -288,30 +316,33 @@ def _encode(path: str, end: int):
 # -- writing and reading ------------------------------------------------------
 
 
+_MANIFEST = "part int, seq int, name string, docs long, ids long, lowest binary, highest binary"
+
+
 def _write(folder: str, width: int):
     def run(batches):
         fs, base = open_fs(folder)
-        out, writer, now, name = None, None, None, ""
-        done = []
+        out, writer, now, name, seq = None, None, None, "", 0
 
         def finish():
             writer.close()
             out.close()
-            done.append((now, name, writer.docs, writer.ids))
+            row = (now, seq, name, writer.docs, writer.ids, writer.lowest, writer.highest)
+            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["part", "seq", "name", "docs", "ids", "lowest", "highest"])
 
         for batch in batches:
             for part, ident, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if part != now:
-                    if writer:
-                        finish()
+                if writer and (part != now or writer.full()):
+                    yield finish()
+                    seq, writer = seq + 1, None
+                if not writer:
                     now, name = part, f"{part:06d}-{uuid.uuid4().hex}.sst"
                     out = fs.open_output_stream(f"{base}/{name}")
                     writer = Writer(out, width)
                 writer.add(key_of(ident), ids.as_buffer().to_pybytes())
         if writer:
-            finish()
-        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], ["part", "name", "docs", "ids"])
+            yield finish()
 
     return run
 
@@ -319,9 +350,10 @@ def _write(folder: str, width: int):
 def write_shards(docs: DataFrame, tokenizer: str | None = None, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
     """Encode ``docs`` and write them as shards of ascending id ranges.
 
-    Returns the folder and its manifest (part, name, docs, ids).  ``end`` is put behind each
-    document, so null and empty texts have that id alone.  Repeated ids are neighbours, in
-    the order of their ids' bytes; a null id comes first.  No rows: no shards.
+    Returns the folder and its manifest (part, seq, name, docs, ids, lowest, highest), a row
+    for each shard.  ``end`` is put behind each document, so null and empty texts have that id
+    alone.  Repeated ids are neighbours, in the order of their ids' bytes; a null id comes
+    first.  Other columns are ignored.  No rows: no shards.
     """
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
@@ -334,7 +366,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end: int = 2, id
     folder = f"{shared_dir(spark)}/wayfold/sst-{uuid.uuid4().hex}"
     fs, base = open_fs(folder)
     fs.create_dir(base, recursive=True)
-    return folder, materialize(dealt.mapInArrow(_write(folder, width), "part int, name string, docs long, ids long"), "manifest")
+    return folder, materialize(dealt.mapInArrow(_write(folder, width), _MANIFEST), "manifest")
 
 
 def _read(folder: str):
@@ -359,23 +391,19 @@ def _read(folder: str):
 def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read from the shards' files.
 
-    The manifest has a row for each shard, at most as many as there were partitions; where
-    each shard's ids start is a running sum over it.
+    Where a shard's ids start is a running sum over the manifest, a row of it for each shard.
     """
-    rows, start, placed = sorted(manifest.collect(), key=lambda r: r["part"]), 0, []
-    for r in rows:
-        placed.append((r["name"], start))
-        start += r["ids"]
-    spark = manifest.sparkSession
-    files = spark.createDataFrame(placed, "name string, start long").repartition(max(1, len(placed)))
+    before = F.sum("ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
+    files = manifest.select("part", "seq", "name", F.coalesce(before, F.lit(0)).cast("long").alias("start"))
+    files = files.repartition(shuffle_parts(manifest.sparkSession), "part", "seq").select("name", "start")
     return files.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(folder: str, manifest: DataFrame, ident: int | None) -> list[np.ndarray]:
-    """The ids of one document, from the shards whose filter may hold it."""
+    """The ids of one document, from the shards whose keys reach from below to above its own."""
     fs, base = open_fs(folder)
-    found = []
-    for r in sorted(manifest.collect(), key=lambda r: r["part"]):
+    key, found = key_of(ident), []
+    for r in manifest.where((F.col("lowest") <= F.lit(key)) & (F.col("highest") >= F.lit(key))).orderBy("part", "seq").collect():
         with fs.open_input_file(f"{base}/{r['name']}") as file:
             found += Shard(file).get(ident)
     return found
