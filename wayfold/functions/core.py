@@ -79,6 +79,11 @@ def local_weekday(ts, zone: str) -> Column:
     return F.pmod(F.floor((col(ts) + utc_offset(ts, zone)) / DAY_S) + 3, F.lit(7)).cast("int")
 
 
+def local_day(ts, zone: str) -> Column:
+    """The local date of an instant."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor((col(ts) + utc_offset(ts, zone)) / DAY_S).cast("int"))
+
+
 def relative_hour(t) -> Column:
     return F.pmod(F.floor(col(t) / 3600), F.lit(24)).cast("int")
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from wayfold.functions.core import GREAT_CIRCLE_M, haversine, uniform
 
 from .stays import CLASSES
+from .steps import settle
+
+BROADCAST_NODES = 1_000_000  # nodes (three numbers each) that a step may broadcast
 
 # Map tags of each activity class, and the order in which a feature's keys are tried (fixed values).
 TAG_VALUES = {
@@ -84,33 +87,46 @@ def _closest(pairs: DataFrame, key: list[str]) -> DataFrame:
     return pairs.groupBy(*key).agg(best.alias("b")).select(*key, F.col("b.node_id").alias("node_id"), F.col("b.dist").alias("dist"))
 
 
-def nearest(left: DataFrame, key: list[str], nodes: DataFrame, radius: float) -> DataFrame:
-    """Each left row's nearest node within ``radius`` (least id of equals); none: no row."""
-    return _closest(within_radius(left, nodes.select("node_id", F.col("x").alias("rlon"), F.col("y").alias("rlat")), radius), key)
+def _other(pairs: DataFrame, other_than: str | None) -> DataFrame:
+    return pairs.where(F.col("node_id") != F.col(other_than)) if other_than else pairs
+
+
+def nearest(left: DataFrame, key: list[str], nodes: DataFrame, radius: float, other_than: str | None = None) -> DataFrame:
+    """Each left row's nearest node within ``radius`` (least id of equals); none: no row.
+
+    ``other_than``: a column of ``left`` with a node that does not count.
+    """
+    return _closest(_other(within_radius(left, nodes.select("node_id", F.col("x").alias("rlon"), F.col("y").alias("rlat")), radius), other_than), key)
 
 
-def nearest_any(left: DataFrame, key: list[str], nodes: DataFrame, first_radius: float = 250.0, rounds: int = 12) -> DataFrame:
+def nearest_any(left: DataFrame, key: list[str], nodes: DataFrame, first_radius: float = 250.0, rounds: int = 12, other_than: str | None = None) -> DataFrame:
     """Nearest node without a bound: rings of doubling radius, then all nodes for what is still open."""
-    found, radius = None, first_radius
+    found, radius, left = None, first_radius, settle(left, "ends")
     for _ in range(rounds):
-        hit = nearest(left, key, nodes, radius)
+        hit = settle(nearest(left, key, nodes, radius, other_than), "nearest")
         found = hit if found is None else found.union(hit)
-        left = left.join(hit.select(*key), key, "left_anti")
+        left = settle(left.join(hit.select(*key), key, "left_anti"), "ends")
         radius *= 2
         if not left.limit(1).count():
             return found
         if radius > 100_000:
             break
     every = nodes.select("node_id", F.col("x").alias("rlon"), F.col("y").alias("rlat"))
+    every = F.broadcast(every) if every.count() <= BROADCAST_NODES else every
     left = left.where("lon is not null and lat is not null")
-    pairs = left.crossJoin(F.broadcast(every)).withColumn("dist", haversine("lon", "lat", "rlon", "rlat", GREAT_CIRCLE_M))  # a city's nodes
-    rest = _closest(pairs, key)
+    pairs = left.crossJoin(every).withColumn("dist", haversine("lon", "lat", "rlon", "rlat", GREAT_CIRCLE_M))  # what lies far from all nodes
+    rest = _closest(_other(pairs, other_than), key)
     return rest if found is None else found.union(rest)
 
 
 def poi_counts(places: DataFrame, classified: DataFrame, radius: float = 200.0) -> DataFrame:
-    """(uid, loc_id, poi): how many features of each class lie around a place."""
-    near = within_radius(places.select("uid", "loc_id", "lon", "lat"), classified.select(F.col("lon").alias("rlon"), F.col("lat").alias("rlat"), "activity"), radius)
+    """(uid, loc_id, poi): how many features of each class lie around a place.
+
+    A feature counts by the south-west corner of its box (columns min_lon and min_lat), which
+    of a point is the point.
+    """
+    corner = lambda c: F.coalesce(F.col(f"min_{c}"), F.col(c)) if f"min_{c}" in classified.columns else F.col(c)
+    near = within_radius(places.select("uid", "loc_id", "lon", "lat"), classified.select(corner("lon").alias("rlon"), corner("lat").alias("rlat"), "activity"), radius)
     counts = near.groupBy("uid", "loc_id").pivot("activity", list(CLASSES)).agg(F.count("activity").cast("double"))
     vector = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in CLASSES])
     return places.select("uid", "loc_id").join(counts.select("uid", "loc_id", vector.alias("poi")), ["uid", "loc_id"], "left").withColumn("poi", F.coalesce("poi", F.array_repeat(F.lit(0.0), len(CLASSES))))
@@ -171,7 +187,8 @@ def pool_sample(pools: DataFrame, keys: DataFrame, n: int, seed: int = 0) -> Dat
 def cumulative_population(cells: DataFrame) -> DataFrame:
     """Cells of positive density with their share ``p`` and running share, in raster order."""
     positive = cells.where("density > 0")
-    share = positive.withColumn("p", F.col("density") / F.sum("density").over(Window.partitionBy()))
+    total = positive.agg(F.sum("density").alias("total"))
+    share = positive.crossJoin(F.broadcast(total)).withColumn("p", F.col("density") / F.col("total")).drop("total")  # one row
     by_row = share.groupBy("row").agg(F.sum("p").alias("row_p"))
     by_row = by_row.select("row", F.coalesce(F.sum("row_p").over(Window.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("ahead"))
     within = F.sum("p").over(Window.partitionBy("row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0))
@@ -189,12 +206,39 @@ def nodes_of_cells(cells: DataFrame, nodes: DataFrame, width: float, height: flo
     return keyed.join(spread, ["i", "j"]).where(inside).select("row", "col", "node_id").distinct()
 
 
-def draw_cells(draws: DataFrame, cumulative: DataFrame) -> DataFrame:
-    """Each draw (draw_id, u) takes the first cell whose running share reaches it; past the end: none.
+def draw_cells(draws: DataFrame, cumulative: DataFrame, buckets: int = 1024) -> DataFrame:
+    """Each draw (…, u) takes the first cell whose running share reaches it; past the end: none.
 
-    The cells are sorted into one array row (a raster of a city: its size is its cells), and
-    every draw finds its place in it.
+    Cells and draws meet by the bucket of their share, of which a cell spans those from the
+    share before it to its own; so a draw meets the few cells of its bucket.
+    """
+    order = Window.partitionBy("row").orderBy("col")
+    ends = cumulative.groupBy("row").agg(F.max("cumulative_p").alias("last"))
+    ends = ends.select("row", F.coalesce(F.lag("last").over(Window.orderBy("row")), F.lit(-1.0)).alias("before_row"))  # a row for each raster row
+    spans = cumulative.join(ends, "row").select("row", "col", "cumulative_p", F.coalesce(F.lag("cumulative_p").over(order), F.col("before_row")).alias("above"))
+    at = lambda p: F.least(F.greatest(F.floor(p * buckets), F.lit(0)), F.lit(buckets))
+    spans = spans.withColumn("bucket", F.explode(F.sequence(at(F.col("above")), at(F.col("cumulative_p")))))
+    keyed = draws.withColumn("bucket", at(F.col("u")))
+    hit = (keyed.bucket == spans.bucket) & (keyed.u > spans.above) & (keyed.u <= spans.cumulative_p)
+    return keyed.join(spans, hit, "left").select(*[keyed[c] for c in draws.columns], "row", "col")
+
+
+def draw_nodes(keys: DataFrame, cumulative: DataFrame, inside: DataFrame, nodes: DataFrame, n: int, seed: int = 0, digits: int | None = None) -> DataFrame:
+    """(…, ord, node_id): ``n`` nodes for each row of ``keys``, a cell by population and a node of it uniformly.
+
+    ``inside``: (row, col, node_id).  A cell without nodes, and a draw past the last cell, give
+    any node.  Nodes may repeat, as draws are independent.  ``digits``: draws are rounded, as
+    the shares are then.
     """
-    one = cumulative.agg(F.sort_array(F.collect_list(F.struct("cumulative_p", "row", "col"))).alias("cells"))
-    hit = F.filter("cells", lambda c: c["cumulative_p"] >= F.col("u"))
-    return draws.crossJoin(F.broadcast(one)).withColumn("hit", F.when(F.size(hit) > 0, hit[0])).select(*draws.columns, F.col("hit.row").alias("row"), F.col("hit.col").alias("col"))
+    names = keys.columns
+    u = lambda what: uniform(F.lit(seed), *names, "ord", F.lit(what))
+    draws = keys.withColumn("ord", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("u", u("cell") if digits is None else F.round(u("cell"), digits))
+    drawn = draw_cells(draws, cumulative).withColumn("v", u("node"))
+    own = inside.withColumn("i", F.row_number().over(Window.partitionBy("row", "col").orderBy("node_id")) - 1)
+    many = own.groupBy("row", "col").agg(F.count("*").alias("many"))
+    every = nodes.select("node_id", (F.row_number().over(Window.orderBy("node_id")) - 1).alias("i"))  # a city's nodes
+    total = every.agg(F.count("*").alias("total"))
+    placed = drawn.join(many, ["row", "col"], "left").crossJoin(F.broadcast(total))  # one row
+    placed = placed.withColumn("i", F.floor(F.col("v") * F.coalesce("many", "total")).cast("int"))
+    hit = placed.where("many is not null").join(own, ["row", "col", "i"]).select(*names, "ord", "node_id")
+    return hit.union(placed.where("many is null").join(every, "i").select(*names, "ord", "node_id"))

@@ -40,6 +40,15 @@ def stays_of_trips(trips: DataFrame, labels: DataFrame) -> DataFrame:
     return named.select("uid", "stay_seq", "location_id", F.coalesce("activity_label", F.lit("unknown")).alias("activity_label"), "start_time", "end_time", (F.col("end_time") - F.col("start_time")).alias("duration"))
 
 
+def unknown_places(trips: DataFrame, labels: DataFrame) -> DataFrame:
+    """(uid, trip_seq, location_id): trips with an end that is no place of the person, to be set aside."""
+    first = F.row_number().over(Window.partitionBy("uid").orderBy("trip_seq")) == 1
+    t = trips.withColumn("first", first)
+    ends = t.select("uid", "trip_seq", F.explode(F.when(F.col("first"), F.array("from_id", "to_id")).otherwise(F.array("to_id"))).alias("location_id"))
+    known = labels.select("uid", F.col("loc_id").alias("location_id"))
+    return ends.join(known, ["uid", "location_id"], "left_anti").select("uid", "trip_seq", "location_id")
+
+
 def stays_by_day(stays: DataFrame, zone: str = "Europe/Rome") -> DataFrame:
     """Stays cut at local midnights; a stay keeps the offset that holds at its start.
 

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.core import DAY_S, uniform
 
-from .stays import anchors
-
 LEVELS = (0.0, 0.25, 0.5, 0.75, 1.0)
 ANCHOR_SHARE = 0.25
 _STAY = "struct<act:string,st:int,et:int>"
@@ -59,11 +57,17 @@ def day_bundles(days: DataFrame) -> DataFrame:
 
     Days without a stay away from home have no anchor and give no synthetic day.
     """
-    base = days.withColumn("day_start", F.first("day_start").over(Window.partitionBy("uid", "day_date").orderBy("stay_seq")))
-    rel = base.select("uid", "day_date", "stay_seq", F.col("activity_label").alias("act"), (F.col("start_time") - F.col("day_start")).cast("int").alias("st"), (F.col("end_time") - F.col("day_start")).cast("int").alias("et"))
-    bundle = rel.groupBy("uid", "day_date").agg(F.sort_array(F.collect_list(F.struct("stay_seq", "act", "st", "et"))).alias("stays"))
+    # One grouping gives the stays in order, where the day begins and the longest stay away from home.
+    rank = F.when(F.col("activity_label") != "home", F.struct("duration", (-F.col("stay_seq")).alias("seq")))
+    bundle = days.groupBy("uid", "day_date").agg(
+        F.sort_array(F.collect_list(F.struct("stay_seq", F.col("activity_label").alias("act"), "start_time", "end_time"))).alias("stays"),
+        F.min_by("day_start", "stay_seq").alias("day_start"),
+        F.max_by("stay_seq", rank).alias("anchor_seq"),
+    )
+    rel = lambda t: (t - F.col("day_start")).cast("int")
+    bundle = bundle.withColumn("stays", F.transform("stays", lambda s: F.struct(s["stay_seq"].alias("stay_seq"), s["act"].alias("act"), rel(s["start_time"]).alias("st"), rel(s["end_time"]).alias("et"))))
     bundle = bundle.withColumn("first_day", F.col("day_date") == F.min("day_date").over(Window.partitionBy("uid")))
-    return bundle.join(anchors(days).select("uid", "day_date", F.col("stay_seq").alias("anchor_seq")), ["uid", "day_date"])
+    return bundle.where("anchor_seq is not null").drop("day_start")
 
 
 def synthetic_days(days: DataFrame, known: DataFrame | None = None, population: DataFrame | None = None, levels: tuple[float, ...] = LEVELS, seed: int = 0) -> DataFrame:
@@ -91,8 +95,9 @@ def synthetic_days(days: DataFrame, known: DataFrame | None = None, population:
         rows = population.groupBy("from_activity").agg(F.sort_array(F.collect_list(F.struct("to_activity", "prob"))).alias("to"))
         one = rows.agg(F.map_from_entries(F.collect_list(F.struct("from_activity", "to"))).alias("pool"))  # a row for each activity class
         d = d.crossJoin(F.broadcast(one))
-    u = lambda step, what: uniform(F.lit(seed), "uid", "day_date", "r", step, F.lit(what))
     r = F.col("r")
+    moving = any(x > 0 for x in levels)  # at level 0 nothing is drawn
+    u = lambda step, what: F.when(r > 0, uniform(F.lit(seed), "uid", "day_date", "r", step, F.lit(what))) if moving else F.lit(0.0)
     anchor = F.filter("stays", lambda s: s["stay_seq"] == F.col("anchor_seq"))[0]
     d = d.withColumn("a", anchor)
     length = F.greatest(F.lit(1), F.col("a.et") - F.col("a.st"))
@@ -106,8 +111,10 @@ def synthetic_days(days: DataFrame, known: DataFrame | None = None, population:
     drawn = lambda items: F.transform(items, lambda s: F.struct(s["act"].alias("act"), s["st"].alias("st"), s["et"].alias("et"), u(s["stay_seq"], "keep").alias("keep"), u(s["stay_seq"], "move").alias("move"), u(s["stay_seq"], "bin").alias("bin"), u(s["stay_seq"], "in").alias("in")))
 
     def chosen(state, s, keep_midnight: bool):
+        if not moving:
+            return F.when((state["t"] == 0) & (s["st"] != 0), "home").otherwise(s["act"]) if keep_midnight else s["act"]
         options = F.coalesce(F.when(r >= 1, F.try_element_at("pool", state["prev"])), F.try_element_at("moves", state["prev"]))
-        kept = F.when(s["keep"] < 1 - r, s["act"]).otherwise(F.coalesce(let(options, lambda x: F.when(x.isNotNull(), sample_category(x, s["move"]))), s["act"]))
+        kept = F.when((r <= 0) | (s["keep"] < 1 - r), s["act"]).otherwise(F.coalesce(let(options, lambda x: F.when(x.isNotNull(), sample_category(x, s["move"]))), s["act"]))
         return F.when(state["t"] == 0, F.when(s["st"] == 0, s["act"]).otherwise("home")).otherwise(kept) if keep_midnight else kept
 
     def stay(act, st, et):
@@ -117,6 +124,8 @@ def synthetic_days(days: DataFrame, known: DataFrame | None = None, population:
         def step(state, s):
             own = s["et"] - s["st"]
             length = lambda act: F.coalesce(let(F.try_element_at("durations", act), lambda x: F.when(x.isNotNull(), sample_histogram(x, s["bin"], s["in"]))), own.cast("double"))
+            if not moving:
+                return F.when(state["t"] >= limit, state).otherwise(taken(state, F.struct(chosen(state, s, keep_midnight).alias("act"), F.least(state["t"] + own, limit).alias("end"))))
             made = lambda act: let(F.struct(act.alias("act"), F.least(state["t"] + ((1 - r) * own + r * F.when(r > 0, length(act)).otherwise(0.0)).cast("int"), limit).alias("end")), lambda x: taken(state, x))
             return F.when(state["t"] >= limit, state).otherwise(let(chosen(state, s, keep_midnight), made))
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import core
-from wayfold.operators import compare, grid, mapping, route, segment, spatial, stays, timeline, trajectory
-from wayfold.sources import testbed
+from wayfold.operators import compare, grid, mapping, maps, route, segment, spatial, stays, timeline, trajectory
+from wayfold.sources import cities, raster, testbed
 
 from . import oracle as o
 
@@ -378,14 +378,48 @@ def population_cdf(spark, d):
     return spatial.cumulative_population(testbed.population_cells(spark, d)).select("row", "col", "density", r("p", 9), r("cumulative_p", 9))
 
 
-@query(f"""with {o.POPULATION}, draws as (select i as draw_id, {o.u01('3', 'i')} as u from range(500) r(i))
+@query(f"""with {o.POPULATION}, draws as (select c_custkey as draw_id, {o.u01('3', 'c_custkey')} as u from customer)
 select draw_id, cast(arg_min(row, cumulative_p) as integer) as row, cast(arg_min(col, cumulative_p) as integer) as col from draws left join cumulative on round(cumulative_p, 9) >= round(u, 9) group by 1""")
 def weighted_node_draw(spark, d):
-    draws = spark.range(500).select(F.col("id").alias("draw_id"), F.round(core.uniform(F.lit(3), "id"), 9).alias("u"))
+    draws = testbed.table(spark, d, "customer").select(F.col("c_custkey").alias("draw_id")).withColumn("u", F.round(core.uniform(F.lit(3), "draw_id"), 9))
     c = spatial.cumulative_population(testbed.population_cells(spark, d)).withColumn("cumulative_p", F.round("cumulative_p", 9))
     return spatial.draw_cells(draws, c).select("draw_id", "row", "col")
 
 
+_IN_CELLS = """held as (
+  select row, col, node_id from cells join nodes on x >= 9.10e0 + col * 0.03e0 - 1e-9 and x <= 9.10e0 + col * 0.03e0 + 0.03e0 + 1e-9 and y >= 45.40e0 + (4 - row) * 0.0204e0 - 1e-9 and y <= 45.40e0 + (4 - row) * 0.0204e0 + 0.0204e0 + 1e-9)"""
+
+
+@query(f"with {o.POPULATION}, {o.NODES}, {_IN_CELLS} select cast(row as integer) as row, cast(col as integer) as col, node_id from held")
+def population_cell_nodes(spark, d):
+    cells = testbed.population_cells(spark, d).where("density > 0")
+    return spatial.nodes_of_cells(cells, testbed.road_nodes(spark), 0.03, 0.0204)
+
+
+@query(f"""with {o.POPULATION}, {o.NODES}, {_IN_CELLS},
+draws as (select c_custkey as k, ord, round({o.u01('5', 'c_custkey', 'ord', "'cell'")}, 9) as u, {o.u01('5', 'c_custkey', 'ord', "'node'")} as v from customer, range(1, 3) r(ord)),
+drawn as (select k, ord, any_value(v) as v, arg_min(row, cumulative_p) as row, arg_min(col, cumulative_p) as col from draws left join cumulative on round(cumulative_p, 9) >= u group by 1, 2),
+numbered as (select *, row_number() over (partition by row, col order by node_id) - 1 as i, count(*) over (partition by row, col) as many from held)
+select k, cast(ord as integer) as ord, node_id from drawn join numbered using (row, col) where i = floor(v * many)
+union all
+select k, cast(ord as integer), cast(floor(v * 900) as bigint) from drawn where not exists (select 1 from held h where h.row = drawn.row and h.col = drawn.col)""")
+def population_nodes(spark, d):
+    """Two nodes for each customer: a cell by population, then a node of it."""
+    cells, nodes = testbed.population_cells(spark, d), testbed.road_nodes(spark)
+    keys = testbed.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    cumulative = spatial.cumulative_population(cells).withColumn("cumulative_p", F.round("cumulative_p", 9))
+    inside = spatial.nodes_of_cells(cells.where("density > 0"), nodes, 0.03, 0.0204)
+    return spatial.draw_nodes(keys, cumulative, inside, nodes, 2, seed=5, digits=9)
+
+
+@query(f"with {o.NODES} select node_id from nodes where {o.hav('x', 'y', '9.19e0', '45.4642e0', 6371009.0)} <= 5000")
+def city_nodes(spark, d):
+    """Road nodes within 5 km of a city's centre."""
+    milan = cities.city_config("milan")
+    near = cities.CityConfig(milan.name, milan.lat, milan.lon, 5000.0)
+    return cities.inside(raster.checked_degrees(testbed.road_nodes(spark), "x", "y"), near, "x", "y").select("node_id")
+
+
 _POOLS = f"""{o.FEATURES}, {o.NODES},
 near as (select feature_id, activity, node_id, {o.hav('lon', 'lat', 'x', 'y', 6371009.0)} as dist from classified join nodes on abs(lat - y) < 0.01 and abs(lon - x) < 0.01 where activity <> 'other'),
 pools as (select distinct activity, node_id from (select * from near where dist <= 200 qualify row_number() over (partition by feature_id order by round(dist, 6), node_id) = 1))"""
@@ -406,6 +440,13 @@ def pool_sample(spark, d):
     return spatial.pool_sample(_pools(spark, d), keys, 10, seed=11).select("activity", "node_id")
 
 
+@query(f"""with {o.FEATURES}, {o.NODES},
+near as (select feature_id, case landuse when 'residential' then 'home' when 'commercial' then 'work' when 'retail' then 'work' end as activity, node_id, {o.hav('lon', 'lat', 'x', 'y', 6371009.0)} as dist from features join nodes on abs(lat - y) < 0.01 and abs(lon - x) < 0.01)
+select distinct activity, node_id from (select * from near where dist <= 400 and activity is not null qualify row_number() over (partition by feature_id order by round(dist, 6), node_id) = 1)""")
+def landuse_pools(spark, d):
+    return spatial.landuse_pools(testbed.features(spark, d), testbed.road_nodes(spark))
+
+
 _LABELS12 = ("home", "work", "eat", "health", "utility", "prison")
 _AUGMENTED = f"""{_POOLS},
 each_ as (select node_id, a as activity, row_number() over (partition by a order by {o.u01('0', 'a', 'node_id')}, node_id) as rn, count(*) over (partition by a) as cnt from nodes, (values ('home'), ('work')) v(a)),
@@ -430,8 +471,19 @@ _HW = f"""{_AUGMENTED.replace('with ', '')}, {o.PLACES.replace('places as', 'spo
 scale as (select h.uid, coalesce(avg({o.hav('h.lon', 'h.lat', 'f.lon', 'f.lat')} / 1000), 0) as scale_km from spots h join spots f on f.uid = h.uid and f.loc_id <> '0' where h.loc_id = '0' group by 1),
 hw as (select h.uid, {o.hav('h.lon', 'h.lat', 'w.lon', 'w.lat')} / 1000 as hw_km from spots h join spots w on w.uid = h.uid and w.loc_id = '1' where h.loc_id = '0'),
 facts as (select uid, hw_km, scale_km from hw join scale using (uid)),
-homes as (select f.uid, n.node_id as home, x as hlon, y as hlat from facts f, augmented a join nodes n using (node_id) where a.activity = 'home' qualify row_number() over (partition by f.uid order by {o.u01('0', "'home'", 'f.uid', 'n.node_id')}, n.node_id) <= 20),
-works as (select f.uid, n.node_id as work, x as wlon, y as wlat from facts f, augmented a join nodes n using (node_id) where a.activity = 'work' qualify row_number() over (partition by f.uid order by {o.u01('0', "'work'", 'f.uid', 'n.node_id')}, n.node_id) <= case when any_value(hw_km) over (partition by f.uid) < 1 then 2000 else 30 end),
+pool as (select a.activity, n.node_id, x, y, row_number() over (partition by a.activity order by n.node_id) - 1 as idx, count(*) over (partition by a.activity) as n from augmented a join nodes n using (node_id) where a.activity in ('home', 'work')),
+wanted as (
+  select uid, 'home' as activity, 30 as wanted from facts union all
+  select uid, 'work', case when hw_km < 1 then 2000 else 30 end from facts),
+tries as (
+  select uid, activity, wanted, n, i, {o.u01('0', 'uid', 'activity', 'i')} as u
+  from wanted join (select distinct activity, n from pool) using (activity), range(8000) r(i) where i < case when n <= 4 * wanted then n else 2 * wanted end),
+throws as (
+  select uid, activity, wanted, case when n <= 4 * wanted then i else cast(floor(u * n) as bigint) end as idx, min(case when n <= 4 * wanted then u else i end) as o from tries group by 1, 2, 3, 4),
+drawn as (
+  select uid, activity, node_id, x, y, nth from (select *, row_number() over (partition by uid, activity order by o, idx) as nth from throws) join pool using (activity, idx) where nth <= wanted),
+homes as (select uid, node_id as home, x as hlon, y as hlat from drawn where activity = 'home' and nth <= 20),
+works as (select uid, node_id as work, x as wlon, y as wlat from drawn where activity = 'work'),
 km as (select uid, home, work, hw_km, scale_km, {o.hav('hlon', 'hlat', 'wlon', 'wlat')} / 1000 as km from homes join works using (uid) join facts using (uid) where home <> work and hw_km > 0),
 leveled as (select *, case when km >= hw_km * 0.5e0 and km <= hw_km * 1.5e0 then 0 when km >= hw_km * 0.25e0 and km <= hw_km * 2e0 then 1 else 2 end as level from km),
 pairs as (select uid, home, work, level, km, (km / hw_km - 1) * (km / hw_km - 1) * case when km > hw_km then 2 else 1 end + case when scale_km > 0 then ((km - scale_km) / scale_km) * ((km - scale_km) / scale_km) else 0 end as error from leveled qualify level = min(level) over (partition by uid))"""
@@ -441,9 +493,7 @@ def _pairs(spark, d):
     places, nodes = testbed.locations(spark, d), testbed.road_nodes(spark)
     pools = spatial.augment(_pools(spark, d), nodes)
     facts = mapping.home_work_distance(places).join(mapping.imn_scale(places), "uid")
-    people = facts.withColumn("size", F.when(F.col("hw_km") < mapping.NEAR_KM, mapping.WORK_SAMPLE_NEAR).otherwise(mapping.WORK_SAMPLE)).select("uid", "size")
-    homes = mapping.candidates(people.select("uid"), pools, nodes, "home", mapping.HOME_SAMPLE, 0)
-    works = mapping.candidates(people, pools, nodes, "work", F.col("size"), 0)
+    homes, works = mapping.home_work_candidates(facts, pools, nodes)
     return mapping.home_work_pairs(homes, works, facts)
 
 
@@ -471,13 +521,14 @@ def map_places(spark, d):
     return mapping.map_places(_labels(spark, d), spatial.augment(_pools(spark, d), nodes), nodes)
 
 
-def _od_pairs(spark):
-    i = F.col("id")
-    return spark.range(60).select((i % 12 * 71 % 900).alias("o"), (i * 137 % 900).alias("d"))
+def _od_pairs(spark, d):
+    """Pairs of nodes that orders go between: of 60 origins, to any node."""
+    orders = testbed.table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return orders.select((F.col("o_custkey") % 60 * 15).alias("o"), (F.col("o_orderkey") * 137 % 900).alias("d")).distinct()
 
 
 @query(f"""with recursive {o.EDGES},
-od as (select distinct (i % 12 * 71) % 900 as o, (i * 137) % 900 as d from range(60) r(i)),
+od as (select distinct o_custkey % 60 * 15 as o, o_orderkey * 137 % 900 as d from orders),
 dist(o, node, cost) using key (o, node) as (
   select o, o as node, 0e0 as cost from (select distinct o from od)
   union all
@@ -485,19 +536,19 @@ dist(o, node, cost) using key (o, node) as (
   left join recurring.dist p on p.o = x.o and p.node = x.v where p.cost is null or x.c < p.cost group by 1, 2)
 select o, d, case when o = d then 60e0 else cost end as cost from od join dist using (o) where node = d""")
 def shortest_path(spark, d):
-    return route.shortest_paths(_od_pairs(spark), testbed.road_edges(spark)).select("o", "d", "cost")
+    return route.shortest_paths(_od_pairs(spark, d), testbed.road_edges(spark)).select("o", "d", "cost")
 
 
 @query()
 def leg_running_time(spark, d):
     edges = testbed.road_edges(spark)
-    paths = route.shortest_paths(_od_pairs(spark), edges)
+    paths = route.shortest_paths(_od_pairs(spark, d), edges)
     return route.timed_points(paths, testbed.road_nodes(spark), edges).select("o", "d", "i", "node_id", "offset")
 
 
 @query()
 def edge_usage(spark, d):
-    return route.edge_usage(route.shortest_paths(_od_pairs(spark), testbed.road_edges(spark)))
+    return route.edge_usage(route.shortest_paths(_od_pairs(spark, d), testbed.road_edges(spark)))
 
 
 @query(f"""with recursive {o.DAYS},
@@ -516,6 +567,72 @@ def leg_retime(spark, d):
     return timeline.leg_retimes(legs).select("uid", "day_date", F.explode("timed").alias("t")).select("uid", "day_date", "t.*")
 
 
+# -- tables behind maps and charts ---------------------------------------------------
+
+
+@query(f"with {o.STATS} select round(origin_lat, 6) as origin_lat, round(origin_lon, 6) as origin_lon, count(*) as n from trips_stat group by trips_stat.origin_lat, trips_stat.origin_lon")
+def origin_points(spark, d):
+    return maps.origin_points(_stats(spark, d)).select(r("origin_lat", 6), r("origin_lon", 6), "n")
+
+
+@query(f"""with {o.CELLS}, c as (select origin_cell_x as cell_x, origin_cell_y as cell_y, count(*) as n from celled group by 1, 2), e as (select min(n) as lo, max(n) as hi from c)
+select cell_x, cell_y, n, round(case when hi > lo then (n - lo) / cast(hi - lo as double) else 1 end, 6) as share from c, e""")
+def origin_density_map(spark, d):
+    return maps.density_cells(_celled(spark, d)).select("cell_x", "cell_y", "n", r("share", 6))
+
+
+@query(f"with {o.CELLS}, top as ({_OD} order by trip_count desc, origin_cell_x, origin_cell_y, dest_cell_x, dest_cell_y limit 20) select round((avg(origin_lat) + avg(dest_lat)) / 2, 4) as lat, round((avg(origin_lon) + avg(dest_lon)) / 2, 4) as lon from top")
+def flow_map_centre(spark, d):
+    return maps.flow_centre(grid.top_pairs(grid.od_matrix(_celled(spark, d)))).select(r("lat", 4), r("lon", 4))
+
+
+_COLOUR = "case lower(activity_label) " + " ".join(f"when '{a}' then '{c}'" for a, c in (("home", "darkblue"), ("work", "orange"), ("eat", "green"), ("utility", "purple"), ("transit", "red"), ("unknown", "gray"), ("school", "yellow"), ("shop", "pink"), ("leisure", "lightgreen"), ("health", "lightcoral"), ("admin", "lightblue"), ("finance", "gold"))) + " else 'black' end"
+_PLACED = f"{o.DAYS}, placed as (select s.uid, day_date, cast(row_number() over (partition by s.uid, day_date order by stay_seq, start_time) - 1 as integer) as idx, location_id, activity_label, duration, lat, lon from day_stays s join places p on p.uid = s.uid and p.loc_id = s.location_id)"
+
+
+def _placed(spark, d):
+    return maps.stay_places(_days(spark, d), testbed.locations(spark, d))
+
+
+@query(f"with {_PLACED} select uid, day_date, idx, location_id, activity_label, duration, round(lat, 6) as lat, round(lon, 6) as lon, {_COLOUR} as colour from placed")
+def stay_places(spark, d):
+    return _placed(spark, d).select("uid", "day_date", "idx", "location_id", "activity_label", "duration", r("lat", 6), r("lon", 6), "colour")
+
+
+@query(f"with {_PLACED} select uid, day_date, idx, location_id, activity_label from placed qualify activity_label not in ('home', 'work') or row_number() over (partition by uid, location_id order by day_date, idx) = 1")
+def day_markers(spark, d):
+    return maps.markers(_placed(spark, d), "location_id").select("uid", "day_date", "idx", "location_id", "activity_label")
+
+
+@query(f"""with {_PLACED}, n as (select *, lead(idx) over w as next_idx, lead(lat) over w as to_lat, lead(lon) over w as to_lon from placed window w as (partition by uid, day_date order by idx))
+select uid, day_date, idx as leg, round(lat, 6) as lat, round(lon, 6) as lon, round(to_lat, 6) as to_lat, round(to_lon, 6) as to_lon from n where next_idx = idx + 1""")
+def straight_legs(spark, d):
+    return maps.straight_legs(_placed(spark, d)).select("uid", "day_date", "leg", *[r(c, 6) for c in ("lat", "lon", "to_lat", "to_lon")])
+
+
+@query(f"""with {_PLACED}, gps as (select user_id as uid, cast(date '1970-01-01' + cast((min(time) + {o.offset('min(time)')}) // 86400 as integer) as date) as day_date from points group by user_id, trajectory_id),
+own as (select uid, day_date, count(*) as lines from gps group by 1, 2),
+legs as (select uid, day_date, count(*) as lines from (select *, lead(idx) over (partition by uid, day_date order by idx) as next_idx from placed) where next_idx = idx + 1 group by 1, 2)
+select uid, day_date, 'gps' as kind, lines from own union all select uid, day_date, 'straight', lines from legs where not exists (select 1 from own where own.uid = legs.uid and own.day_date = legs.day_date)""".replace("with ", f"with {o.POINTS}, ", 1))
+def source_day_lines(spark, d):
+    trips = testbed.points(spark, d).groupBy(F.col("user_id").alias("uid"), "trajectory_id").agg(F.min("time").alias("start_time"))
+    return maps.source_day_lines(maps.trips_of_days(trips, "Europe/Rome"), _placed(spark, d))
+
+
+@query(f"""with {o.DAYS}, gapped as (select uid, next_start - end_time + 60 * (stay_seq % 4) as gap from day_stays where next_start is not null),
+{_histogram_sql("select uid, gap from gapped where gap > 0", "uid", "gap").replace(', 3', ', 2')}""")
+def gap_histogram(spark, d):
+    """Gaps between a day's stays, of which every fourth has none, and the others end early."""
+    early = _days(spark, d).withColumn("end_time", F.col("end_time") - 60 * (F.col("stay_seq") % 4))
+    return stays.gap_histogram(early).select("uid", "bin", "n", r("lo"), r("width", 6))
+
+
+@query(f"""with {o.TRIPS}, ends as (select uid, trip_seq, to_id as location_id from trips union all select uid, trip_seq, from_id from trips qualify row_number() over (partition by uid order by trip_seq) = 1)
+select uid, trip_seq, location_id from ends where location_id = '4'""")
+def unknown_places(spark, d):
+    return stays.unknown_places(testbed.trips(spark, d), _labels(spark, d).where("loc_id <> '4'"))
+
+
 # -- ingest -------------------------------------------------------------------------
 
 
@@ -532,7 +649,13 @@ def json_props(spark, d):
     return e.groupBy("user_id", F.col("p.k").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""with {o.POINTS}, p as (select user_id as id, lon as longitude, lat as latitude, time as timestamp, row_number() over (partition by user_id order by time, lon, lat) as nth from points),
+q as (select b.*, b.timestamp - a.timestamp as dt, case when a.nth is null then true else {o.hav('a.longitude', 'a.latitude', 'b.longitude', 'b.latitude')} > 50 end as moving from p b left join p a on a.id = b.id and a.nth = b.nth - 1),
+runs as (select *, sum(cast(moving as integer)) over (partition by id order by nth) as run from q),
+rests as (select id, run, max(timestamp) - min(timestamp) >= 1200 as rested from runs group by 1, 2),
+cut as (select r.*, dt is null or dt > 1200 or (moving and coalesce(b.rested, false)) as starts from runs r left join rests b on b.id = r.id and b.run = r.run - 1),
+trips as (select *, sum(cast(starts as integer)) over (partition by id order by nth) - 1 as tid from cut)
+select id, timestamp, round(longitude, 6) as longitude, round(latitude, 6) as latitude, cast(tid as bigint) as tid from trips where id in (select id from trips group by 1 having count(distinct tid) > 2)""")
 def segment_points(spark, d):
     p = testbed.points(spark, d).select(F.col("user_id").alias("id"), F.col("lon").alias("longitude"), F.col("lat").alias("latitude"), F.col("time").alias("timestamp"))
-    return segment.keep_active(segment.segment(p)).select("id", "timestamp", "longitude", "latitude", "tid")
+    return segment.keep_active(segment.segment(p)).select("id", "timestamp", r("longitude", 6), r("latitude", 6), F.col("tid").cast("long").alias("tid"))

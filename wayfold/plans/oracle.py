@@ -95,7 +95,8 @@ FEATURES = """features as (
     case when p_partkey % 3 <> 0 then ['cafe','events_venue','bench','bank','school','parking','clinic','fuel'][p_partkey % 8 + 1] end as amenity,
     case when p_partkey % 4 = 0 then ['bakery','mall','books','unknown'][(p_partkey // 4) % 4 + 1] end as shop,
     case when p_partkey % 5 = 0 then ['park','pitch','maze'][(p_partkey // 5) % 3 + 1] end as leisure,
-    case when p_partkey % 11 = 0 then ['company','government'][(p_partkey // 11) % 2 + 1] end as office
+    case when p_partkey % 11 = 0 then ['company','government'][(p_partkey // 11) % 2 + 1] end as office,
+    case when p_partkey % 7 = 0 then ['residential','commercial','forest','retail'][(p_partkey // 7) % 4 + 1] end as landuse
   from part),
 classified as (
   select *, coalesce(

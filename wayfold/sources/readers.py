@@ -67,13 +67,25 @@ def poi_vectors(pois: DataFrame) -> DataFrame:
 
 
 def read_trajectory_csv(spark: SparkSession, folder: str, glob: str = "user_*_trajectory.csv") -> DataFrame:
-    """(user_id, trajectory_id, lat, lon, time[, day_date], point_seq) of all matching files.
+    """(user_id, trajectory_id, lat, lon, time, day_date, point_seq) of all matching files.
 
-    The user is the number in a file's name; files without one are skipped.
+    The user is the number in a file's name.  Each file is read by its own header: columns may
+    come in any order and number, ``day_date`` may be missing (null); files without a user or
+    one of the other columns are skipped.  A file is one person's, so it is one row at first.
     """
-    raw = spark.read.schema(TRAJECTORY).option("header", True).option("enforceSchema", False).option("pathGlobFilter", glob).csv(folder)
+    raw = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
     uid = F.regexp_extract(F.col("_metadata.file_name"), r"user_(\d+)_", 1).try_cast("long")
-    return raw.select(uid.alias("user_id"), "*", F.monotonically_increasing_id().alias("point_seq")).where("user_id is not null")
+    files = raw.select(uid.alias("user_id"), F.split("value", r"\r?\n").alias("lines")).where("user_id is not null")
+    bare = lambda x: F.trim(F.regexp_replace(x, '"', ""))
+    files = files.withColumn("header", F.transform(F.split(F.col("lines")[0], ","), bare))
+    needed = ("trajectory_id", "lat", "lon", "time")
+    for name in needed:
+        files = files.where(F.array_contains("header", name))
+    rows = files.select("user_id", "header", F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("point_seq", "line")).where(F.trim("line") != "")
+    rows = rows.withColumn("f", F.split("line", ","))
+    at = lambda name: F.when(F.array_contains("header", name), bare(F.try_element_at("f", F.array_position("header", name).cast("int"))))
+    typed = [at(name).try_cast(kind).alias(name) for name, kind in (x.split() for x in TRAJECTORY.split(", "))]
+    return rows.select("user_id", *typed, F.col("point_seq").cast("long").alias("point_seq"))
 
 
 def read_trajectory_json(spark: SparkSession, folder: str, glob: str = "user_*_trajectories.json") -> DataFrame:
@@ -85,20 +97,61 @@ def read_trajectory_json(spark: SparkSession, folder: str, glob: str = "user_*_t
     return pts.select("user_id", "trajectory_id", F.col("p")[1].alias("lat"), F.col("p")[0].alias("lon"), F.col("p")[2].alias("time"), F.col("point_seq").cast("long").alias("point_seq"))
 
 
-def merge_trajectories(csv: DataFrame, json: DataFrame, limit_users: int | None = None) -> DataFrame:
-    """Both formats, JSON before CSV for a user that has both; at most so many users, by id."""
-    both = csv.drop("day_date").withColumn("prio", F.lit(1)).unionByName(json.withColumn("prio", F.lit(0)))
+def read_gps_trips(spark: SparkSession, folder: str, uid: int | None = None) -> DataFrame:
+    """(user_id, trajectory_id, start_time, points) of original GPS files, of one person or all.
+
+    Only that person's file is listed; without one there are no rows.
+    """
+    raw = spark.read.schema(_GPS).option("multiLine", True).option("pathGlobFilter", f"user_{'*' if uid is None else uid}_trajectories.json").json(folder)
+    who = F.regexp_extract(F.col("_metadata.file_name"), r"user_(\d+)_", 1).try_cast("long")
+    trips = raw.select(who.alias("user_id"), F.explode("trajectories").alias("tid", "t")).where("user_id is not null")
+    return trips.select("user_id", F.col("tid").try_cast("long").alias("trajectory_id"), F.col("t._start_time").alias("start_time"), F.col("t.object").alias("points"))
+
+
+def _first_users(points: DataFrame, limit: int | None) -> DataFrame:
+    if limit is None:
+        return points
+    return points.join(points.select("user_id").distinct().orderBy("user_id").limit(limit), "user_id", "left_semi")
+
+
+def by_priority(*sources: DataFrame) -> DataFrame:
+    """Each user's rows from the first of ``sources`` that has any; columns that one lacks are null."""
+    both = None
+    for k, points in enumerate(sources):
+        own = points.withColumn("prio", F.lit(k))
+        both = own if both is None else both.unionByName(own, allowMissingColumns=True)
     best = both.groupBy("user_id").agg(F.min("prio").alias("prio"))
-    if limit_users is not None:
-        best = best.orderBy("user_id").limit(limit_users)
     return both.join(best, ["user_id", "prio"], "left_semi").drop("prio")
 
 
+def merge_trajectories(csv: DataFrame, json: DataFrame, limit_users: int | None = None) -> DataFrame:
+    """Both formats, JSON before CSV for a user that has both; of each format at most so many users, by id.
+
+    ``day_date`` stays, null where a format has none.
+    """
+    return by_priority(_first_users(json, limit_users), _first_users(csv, limit_users))
+
+
+def load_trajectories(spark: SparkSession, folder: str, city: str = "porto", limit_users: int | None = None) -> DataFrame:
+    """All trajectories of a folder: the city's CSV files, or any if it has none, and JSON files."""
+    named = read_trajectory_csv(spark, folder, f"user_*_{city}_trajectory.csv")
+    csv = named if named.limit(1).count() else read_trajectory_csv(spark, folder)
+    return merge_trajectories(csv, read_trajectory_json(spark, folder), limit_users)
+
+
 def matched_originals(originals: DataFrame, synthetic: DataFrame) -> DataFrame:
     """Originals of the users that the synthetic side has."""
     return originals.join(synthetic.select("user_id").distinct(), "user_id", "left_semi")
 
 
+def load_matched_originals(spark: SparkSession, folder: str, synthetic: DataFrame, city: str = "porto") -> DataFrame:
+    """Originals of the synthetic side's users: JSON, else the city's CSV, else another CSV."""
+    plain = read_trajectory_csv(spark, folder, "user_[0-9]*_trajectory.csv")
+    sources = [read_trajectory_json(spark, folder), read_trajectory_csv(spark, folder, f"user_*_{city}_trajectory.csv"), plain]
+    users = synthetic.select("user_id").distinct()
+    return by_priority(*[s.join(users, "user_id", "left_semi") for s in sources])
+
+
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a GraphML file; travel time from length and speed where it is missing."""
     doc = spark.read.text(path, wholetext=True)

@@ -20,9 +20,16 @@ def write_imns(locations: DataFrame, trips: DataFrame, path: str, mode: str = "a
     write_json_lines(places.join(rides, "uid"), path, mode)
 
 
-def write_trajectories(points: DataFrame, path: str, city: str, form: str = "csv") -> None:
-    """Synthetic points, a folder for each city and user."""
-    out = points.withColumn("city", F.lit(city)).write.mode("overwrite").partitionBy("city", "user_id")
+def write_trajectories(points: DataFrame, path: str, city: str, form: str = "csv", buckets: int | None = None) -> None:
+    """Synthetic points, a folder for each city and user.
+
+    With ``buckets``, a folder for each city and hash bucket of users, for many people: the
+    user is a column then, and a bucket's rows are written by one task.
+    """
+    rows = points.withColumn("city", F.lit(city))
+    if buckets:
+        rows = rows.withColumn("bucket", F.pmod(F.hash("user_id"), F.lit(buckets))).repartition(buckets, "bucket")
+    out = rows.write.mode("overwrite").partitionBy("city", "bucket" if buckets else "user_id")
     out.option("header", True).csv(path) if form == "csv" else out.parquet(path)
 
 
@@ -44,15 +51,26 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def probability_reports(histograms: DataFrame, transitions: DataFrame) -> DataFrame:
-    """(uid, duration_probs, transition_probs) as JSON-ready maps."""
-    bars = histograms.groupBy("uid", "activity_label").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("h"), F.first("lo").alias("lo"), F.first("width").alias("width"))
+def _bars(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bars): histograms (bin, n, lo, width) as counts of all bins and their edges."""
+    h = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("h"), F.first("lo").alias("lo"), F.first("width").alias("width"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.coalesce(F.filter("h", lambda x: x["bin"] == i)[0]["n"], F.lit(0)))
     edges = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.col("lo") + i * F.col("width"))
-    d = bars.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("activity_label", F.struct(counts.alias("hist"), edges.alias("bins"))))).alias("duration_probs"))
+    return h.select(*keys, F.struct(counts.alias("hist"), edges.alias("bins")).alias("bars"))
+
+
+def probability_reports(histograms: DataFrame, transitions: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """(uid, duration_probs, transition_probs, trip_duration_probs) as JSON-ready maps.
+
+    ``gaps``: the histogram of gaps between stays; a person without gaps has null there.
+    """
+    d = _bars(histograms, ["uid", "activity_label"]).groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("activity_label", "bars"))).alias("duration_probs"))
     rows = transitions.groupBy("uid", "from_activity").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("to_activity", "prob")))).alias("to"))
     t = rows.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("from_activity", "to"))).alias("transition_probs"))
-    return d.join(t, "uid", "full")
+    both = d.join(t, "uid", "full")
+    if gaps is None:
+        return both.withColumn("trip_duration_probs", F.lit(None).cast("struct<hist:array<bigint>,bins:array<double>>"))
+    return both.join(_bars(gaps, ["uid"]).withColumnRenamed("bars", "trip_duration_probs"), "uid", "left")
 
 
 def features_geojson(df: DataFrame, lon: str, lat: str) -> DataFrame:

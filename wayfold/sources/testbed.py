@@ -61,13 +61,14 @@ def poi_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(feature_id, tags, lon, lat): parts as map features with one to three tags."""
+    """(feature_id, tags, lon, lat): parts as map features with up to five tags."""
     p = F.col("p_partkey")
     values = {
         "amenity": ("cafe", "events_venue", "bench", "bank", "school", "parking", "clinic", "fuel"),
         "shop": ("bakery", "mall", "books", "unknown"),
         "leisure": ("park", "pitch", "maze"),
         "office": ("company", "government"),
+        "landuse": ("residential", "commercial", "forest", "retail"),
     }
     chosen = lambda key, n: F.element_at(F.array(*[F.lit(v) for v in values[key]]), (n % len(values[key]) + 1).cast("int"))
     tags = F.create_map(
@@ -75,6 +76,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("shop"), F.when(p % 4 == 0, chosen("shop", F.floor(p / 4))),
         F.lit("leisure"), F.when(p % 5 == 0, chosen("leisure", F.floor(p / 5))),
         F.lit("office"), F.when(p % 11 == 0, chosen("office", F.floor(p / 11))),
+        F.lit("landuse"), F.when(p % 7 == 0, chosen("landuse", F.floor(p / 7))),
     )
     return table(spark, sf_dir, "part").select(
         p.alias("feature_id"),
