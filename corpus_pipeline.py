@@ -48,21 +48,32 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays, the first by a digest of the text.
     """
     groups = ngram_jaccard_components(docs, n=5, num=80, den=100)
-    gone = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    kept = docs.join(maybe_broadcast(gone, gone.count()), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    # Rows travel as one column, so that their own columns may have any names.
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(maybe_broadcast(gone, gone.count()), F.col("key") == F.col("id"), "left_anti")
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-        kept = kept.withColumn("__first", first).where("__first = 1 or doc_id is null").select(*docs.columns)
-    return kept
+        first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row.text")))
+        kept = kept.withColumn("nth", first).where("nth = 1 or key is null")
+    return kept.select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often (0 to 3 times) as the mix of sources by weights 1, 2, 3 takes them."""
+    """Documents as often (0 to 3 times) as the mix of sources by weights 1, 2, 3 takes them.
+
+    A null source is a source of its own; texts without words (null ones too) go, as nothing
+    of them can be taken; rows that repeat an id are taken alike; the columns stay, and an empty
+    table stays empty.
+    """
     return repeat_by_mix(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document's whole text and what decoding them gives."""
+    """Token ids of each document's whole text and what decoding them gives.
+
+    Columns: doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip, ids.  A null or empty
+    text has no ids; every row keeps a row; other columns are ignored; an empty table stays empty.
+    """
     return encode_decode(docs)
 
 
