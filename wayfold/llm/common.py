@@ -28,12 +28,14 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; on one machine a temporary one where none is set."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc._jsc.sc().getCheckpointDir().get()
     if not named:
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="wayfold-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -56,7 +58,7 @@ def forget_written() -> None:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001 - the session may be gone at exit
-            return
+            continue
 
 
 atexit.register(forget_written)
@@ -71,12 +73,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def n_words(text) -> F.Column:
-    """Number of maximal runs of characters other than space and the controls 9 to 13."""
-    squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "w")
-    return F.length(F.translate(squeezed, " \t\n\x0b\x0c\r", "")).cast("long")
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (int64, one more than rows) and bytes of a string column; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -27,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, utf8
+
 SIDE, PER_BLOCK, UNIT = 64, 48, 192
 BLOCKS = (SIDE // 8) ** 2
 PER_FRAME = BLOCKS * PER_BLOCK
 MS_PER_FRAME = 40
+FRAMES_AT_ONCE = 32
 BINS, WINDOW, SPREAD, LEAST = 16, 8, 3.0, 0.15
 
 
@@ -68,17 +71,19 @@ _FULL = 1 + 9 * PER_BLOCK + 2  # bits of a block with bytes; one without has 3
 def encode_frames(payload: bytes) -> list[bytes]:
     """JPEG frames that carry ``payload`` (a multiple of 48 bytes)."""
     data = np.frombuffer(payload, np.uint8).reshape(-1, PER_BLOCK)
-    bits = np.zeros((len(data), _FULL), np.uint8)
-    bits[:, 1:-2].reshape(len(data), PER_BLOCK, 9)[:, :, 1:] = np.unpackbits(data, axis=1).reshape(len(data), PER_BLOCK, 8)
-    bits[:, -2] = 1
     frames = []
-    for at in range(0, len(data), BLOCKS):
-        own = bits[at : at + BLOCKS].ravel()
-        if len(data) - at < BLOCKS:
-            own = np.concatenate([own, np.tile(np.array([0, 1, 0], np.uint8), BLOCKS - (len(data) - at))])
-        if len(own) % 8:
-            own = np.concatenate([own, np.ones(-len(own) % 8, np.uint8)])
-        frames.append(_HEAD + np.packbits(own).tobytes().replace(b"\xff", b"\xff\x00") + _TAIL)
+    for lo in range(0, len(data), BLOCKS * FRAMES_AT_ONCE):  # a byte for each bit, of a few frames at a time
+        some = data[lo : lo + BLOCKS * FRAMES_AT_ONCE]
+        bits = np.zeros((len(some), _FULL), np.uint8)
+        bits[:, 1:-2].reshape(len(some), PER_BLOCK, 9)[:, :, 1:] = np.unpackbits(some, axis=1).reshape(len(some), PER_BLOCK, 8)
+        bits[:, -2] = 1
+        for at in range(0, len(some), BLOCKS):
+            own = bits[at : at + BLOCKS].ravel()
+            if len(some) - at < BLOCKS:
+                own = np.concatenate([own, np.tile(np.array([0, 1, 0], np.uint8), BLOCKS - (len(some) - at))])
+            if len(own) % 8:
+                own = np.concatenate([own, np.ones(-len(own) % 8, np.uint8)])
+            frames.append(_HEAD + np.packbits(own).tobytes().replace(b"\xff", b"\xff\x00") + _TAIL)
     return frames
 
 
@@ -305,9 +310,10 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 def _store(batches):
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            both = [padded(t) for t in batch.column(1)[at : at + 500].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 500], pa.array([n for n, _ in both], pa.int64()), pa.array([write_avi(p) for _, p in both], pa.binary())], ["doc_id", "n_bytes", "media"])
+        offsets, _ = utf8(batch.column(1))
+        for lo, hi in slices(offsets):
+            both = [padded(t) for t in batch.column(1)[lo:hi].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([n for n, _ in both], pa.int64()), pa.array([write_avi(p) for _, p in both], pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -324,7 +330,8 @@ def _features(batches):
     kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
         rows = []
-        for ident, n, media in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for ident, n, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            media = stored.as_py()  # one file at a time
             payload, shapes = read_payload(media)
             cuts = shots(shapes)
             mean = ",".join(str(int(x)) for x in np.rint(shapes.mean(axis=0) * 1000)) if len(shapes) else ""
