@@ -193,6 +193,97 @@ def test_visits_keep_the_wanted_diversity():
     assert mapping.choose_visit([4], [0.0], set(), 1, ("x",)) == 4
 
 
+def test_places_take_the_candidate_of_least_error():
+    """The fold against the definition, with loops over plain numbers."""
+    import math
+
+    import pandas as pd
+
+    def km(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(h)))
+
+    import random
+
+    rng = random.Random(5)
+    for case in range(12):
+        spot = lambda d=0.05: (9 + rng.uniform(-d, d), 45 + rng.uniform(-d, d))
+        own = {"0": spot(), "1": spot(), **{str(i): spot(0.004 if case % 2 else 0.05) for i in range(2, 6)}}
+        if case % 2:
+            own = {k: (own["0"][0] + (v[0] - 9) * 0.1, own["0"][1] + (v[1] - 45) * 0.1) if k > "1" else v for k, v in own.items()}
+        width = 0.002 if case % 4 == 1 else 0.05  # all candidates near home, or some
+        chosen = {"0": (9.5, 45.5), "1": (9.53, 45.51)}
+        scale, pair_error = (0.0 if case == 3 else 2.0), rng.random()
+        cand = {k: [(9.5 + rng.uniform(-width, width), 45.5 + rng.uniform(-width, width)) for _ in range(100)] for k in own if k > "1"}
+        frequency = {k: rng.randrange(4) for k in own}
+        table = [(7, k, int(k), *own[k], frequency[k], int(k) * 1000, *chosen[k], 1, scale, pair_error) for k in chosen]
+        table += [(7, k, int(k), *own[k], frequency[k], int(k) * 1000 + n, *c, n + 1, scale, pair_error) for k in cand for n, c in enumerate(cand[k])]
+        names = ["uid", "loc_id", "loc_ord", "lon", "lat", "frequency", "node_id", "clon", "clat", "ord", "scale_km", "pair_error"]
+        got = mapping.place_rest(pd.DataFrame(table, columns=names))
+        mapped, total = dict(chosen), pair_error
+        for k in sorted(cand, key=lambda k: (-frequency[k], int(k))):
+            away = km(own["0"], own[k])
+            options = list(enumerate(cand[k]))
+            if away < 1.0:
+                near = [x for x in options if km(chosen["0"], x[1]) <= max(5 * away, 2.0)]
+                options = near[:30] if near else options
+            else:
+                options = options[:30]
+
+            def error(c, k=k):
+                e = sum(((km(c, mapped[m]) - km(own[k], own[m])) / km(own[k], own[m])) ** 2 for m in mapped)
+                if scale > 0:
+                    reach = [km(chosen["0"], mapped[m]) for m in mapped if m != "0"] + [km(chosen["0"], c)]
+                    e += ((sum(reach) / len(reach) - scale) / scale) ** 2
+                return e
+
+            best = min(options, key=lambda x: (error(x[1]), x[0]))
+            total += error(best[1])
+            assert int(got[got["loc_id"] == k]["node_id"].iloc[0]) == int(k) * 1000 + best[0]
+            mapped[k] = best[1]
+        assert abs(got["relative_rmse"].iloc[0] - math.sqrt(total / (len(own) * (len(own) - 1) / 2))) < 1e-9
+
+
+def test_people_who_live_at_work_take_the_nearest_other_node(spark):
+    nodes = spark.createDataFrame([(i, 9.0 + i * 0.01, 45.0) for i in range(40)], "node_id long, x double, y double")
+    pools = spark.createDataFrame([("home", 3), ("work", 3), ("work", 30), ("work", 39)], "activity string, node_id long")
+    facts = spark.createDataFrame([(1, 0.0, 2.0), (2, 0.0, 0.0)], "uid long, hw_km double, scale_km double")
+    homes, works = mapping.home_work_candidates(facts, pools, nodes)
+    assert mapping.home_work_pairs(homes, works, facts).count() == 0
+    got = {r.uid: r for r in mapping.home_work_fallback(homes, pools, nodes, facts).collect()}
+    km = 2 * 6371.0 * 3.141592653589793 / 360 * 0.27 * 0.7071067811865476
+    assert [(u, r.home, r.work) for u, r in sorted(got.items())] == [(1, 3, 30), (2, 3, 30)]
+    assert abs(got[2].error - 2 * 1000 * km) < 5 and abs(got[1].error - got[2].error - ((km - 2) / 2) ** 2) < 0.01
+    alone = mapping.home_work_fallback(homes, pools.where("node_id = 3"), nodes, facts).collect()
+    assert {(r.home, r.work) for r in alone} == {(3, 3)}
+
+
+def test_candidates_are_different_nodes_of_the_pool(spark):
+    nodes = spark.range(1000).selectExpr("id as node_id", "id / 1000.0 as x", "45.0D as y")
+    pools = nodes.selectExpr("'big' as activity", "node_id").union(nodes.where("node_id < 50").selectExpr("'small' as activity", "node_id")).union(nodes.where("node_id < 5").selectExpr("'tiny' as activity", "node_id"))
+    keys = spark.createDataFrame([(u, a) for u in range(40) for a in ("big", "small", "tiny", "none")], "uid long, activity string")
+    got = mapping.candidates(keys, pools, nodes, 20, 3).collect()
+    of = {}
+    for r in got:
+        of.setdefault((r.uid, r.activity), []).append((r.ord, r.node_id))
+    assert set(of) == {(u, a) for u in range(40) for a in ("big", "small", "tiny")}
+    for (_, a), drawn in of.items():
+        n = 5 if a == "tiny" else 20
+        assert sorted(o for o, _ in drawn) == list(range(1, n + 1)) and len({x for _, x in drawn}) == n and max(x for _, x in drawn) < {"big": 1000, "small": 50, "tiny": 5}[a]
+    seen = {x for (_, a), drawn in of.items() if a == "big" for _, x in drawn}
+    assert len(seen) > 450 and sorted(map(tuple, mapping.candidates(keys, pools, nodes, 20, 3).collect())) == sorted(map(tuple, got))
+
+
+def test_visits_by_the_rules():
+    assert mapping.choose_visit([1, 2], [1.0, 1.0], {1, 2}, 5, ("a",)) in (1, 2)  # nothing new is left
+    assert mapping.choose_visit([1, 2, 3], [0.0, 0.0, 9.0], {1}, 1, ("b",)) == 1  # just as many: a used one at once
+    assert mapping.choose_visit([1, 2, 3], [0.0, 0.0, 9.0], {1, 2}, 1, ("c",)) in (1, 2)
+    assert mapping.choose_visit([1, 2], [9.0, 0.0], {1}, 2, ("d",)) == 2  # the ten draws are refused
+    drawn = [mapping.choose_visit([1, 2], [3.0, 1.0], {1, 2}, 2, (k,)) for k in range(400)]
+    assert 250 < drawn.count(1) < 350
+
+
 def test_landuse_areas_fill_home_and_work_pools(spark):
     nodes = spark.createDataFrame([(i, 9.0 + i * 0.01, 45.0) for i in range(12)], "node_id long, x double, y double")
     edges = spark.createDataFrame([], "u long, v long, key int, length double, travel_time double")

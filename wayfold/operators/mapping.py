@@ -141,7 +141,7 @@ def place_rest(rows: pd.DataFrame) -> pd.DataFrame:
     uid, scale = rows["uid"].iloc[0], float(rows["scale_km"].iloc[0])
     mapped: list[tuple] = []
     total = 0.0
-    order = rows.drop_duplicates("loc_id").assign(rank=lambda x: np.where(x["loc_id"].isin(["0", "1"]), 0, 1)).sort_values(["rank", "frequency", "loc_ord"], ascending=[True, False, True], kind="stable")
+    order = rows.drop_duplicates("loc_id").assign(rank=lambda x: x["loc_id"].map({"0": 0, "1": 1}).fillna(2)).sort_values(["rank", "frequency", "loc_ord"], ascending=[True, False, True], kind="stable")
     home = None
     for loc, lon, lat in order[["loc_id", "lon", "lat"]].itertuples(index=False):
         c = rows[rows["loc_id"] == loc].sort_values("ord", kind="stable")

@@ -54,7 +54,7 @@ def write_report(df: DataFrame, path: str) -> None:
 def _bars(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, bars): histograms (bin, n, lo, width) as counts of all bins and their edges."""
     h = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("h"), F.first("lo").alias("lo"), F.first("width").alias("width"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.coalesce(F.filter("h", lambda x: x["bin"] == i)[0]["n"], F.lit(0)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.coalesce(F.get(F.filter("h", lambda x: x["bin"] == i), F.lit(0))["n"], F.lit(0)))
     edges = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.col("lo") + i * F.col("width"))
     return h.select(*keys, F.struct(counts.alias("hist"), edges.alias("bins")).alias("bars"))
 
