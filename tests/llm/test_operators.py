@@ -312,6 +312,24 @@ def test_revisits_take_the_latest_earlier_response(spark):
     assert got["v4"].payload_bytes == 10
 
 
+def test_equal_times_repeats_and_a_hot_url(spark):
+    stamp = lambda m: f"2024-01-01T{m // 60:02d}:{m % 60:02d}:00Z"
+    rng = random.Random(11)
+    made = [("response", 5, "r1", "a"), ("response", 5, "r1", "a"), ("revisit", 5, "s1", "a"), ("response", 5, "z1", "b"), ("revisit", 6, "v1", "b"), ("revisit", 6, "v1", "b"), ("revisit", 6, "v2", "a")]
+    made += [(rng.choice(["response", "revisit", "revisit"]), rng.randrange(7, 900), f"h{i:04d}", rng.choice("ab")) for i in range(500)]
+    rows = [(warc.write_record(kind, "http://hot.example/", stamp(t), name, "200 OK" if kind == "response" else "304 Not Modified", [("ETag", tag)], name.encode() if kind == "response" else b""),) for kind, t, name, tag in made]
+    got = sorted((r.record_id, r.outcome, r.source_id) for r in warc.resolve_revisits(warc.parse_records(spark.createDataFrame(rows, "record binary"))).collect())
+    want, last = [], None
+    for kind, _, name, tag in sorted(made, key=lambda x: (x[1], x[2])):
+        if kind == "response":
+            want.append((name, "full", name))
+            last = (name, tag)
+        else:
+            same = last is not None and last[1] == tag
+            want.append((name, "missing" if last is None else "resolved" if same else "mismatch", last[0] if same else None))
+    assert got == sorted(want, key=lambda x: (x[0], x[1], x[2] or "")) or sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_no_records(spark):
     assert warc.resolve_revisits(warc.parse_records(spark.createDataFrame([], "record binary"))).collect() == []
 

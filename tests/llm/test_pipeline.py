@@ -25,3 +25,21 @@ def test_stages_take_effect(spark, tmp_path):
         assert stage(spark, docs.limit(0), d).collect() == []
     got = corpus_pipeline.run(spark, d).collect()
     assert got and all(r.round_trip for r in got)
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    names = ["id", "gone_id", "key", "row", "nth", "rep", "component_id", "mix_id", "score", "base", "runs", "n_lines", "line"]
+    base = [" ".join(f"w{(i * 7 + j) % 90}x{i}" for j in range(70)) for i in range(8)]
+    rows = [(i, t, "en", f"s{i % 2}", len(t), *range(len(names))) for i, t in enumerate(base)]
+    rows += [(3, "quite another text of some words", "en", None, 5, *range(len(names))), (3, base[3], "en", "s1", 5, *range(len(names))), (None, base[1] + " tail", None, None, None, *[None] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        kept = [tuple(r) for r in out.collect()]
+        own = {r[:1] + r[2:4] + r[5:] for r in rows}
+        assert out.columns == docs.columns and {r[:1] + r[2:4] + r[5:] for r in kept} <= own, name
+    ids = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()]
+    assert sorted(i for i in ids if i is not None) == list(range(8)) and ids.count(None) == 1
+    assert corpus_pipeline.sentencepiece(spark, docs, str(tmp_path)).count() == len(rows)

@@ -1,6 +1,6 @@
 r"""Line deduplication on a suffix array over line ids.
 
-Every text is a sequence of lines, every line a 64-bit id; a suffix starts at each line.
+Every text is a sequence of lines, every line an id of 128 bits; a suffix starts at each line.
 Suffixes are sorted by prefix doubling, distributed: level k ranks them by their first 2**k
 lines, from the pair of level k - 1 ranks at their start and 2**(k-1) lines on.  Suffixes
 whose first 2**k lines occur once drop out of later levels (their place is settled), so each
@@ -46,10 +46,11 @@ def _lines(min_words: int):
                 starts = np.insert(breaks + 1, per_text[:-1], at[:-1])  # a text starts a line, so does what follows a line end
                 ends = np.insert(breaks, per_text[1:], at[1:])
                 n = np.diff(per_text) + 1
-                seen = np.searchsorted(words_of(own, at)[1], np.append(starts, len(own)))
-                words = np.searchsorted(words_of(own, at)[1], ends) - seen[:-1]
+                word_at = words_of(own, at)[1]
+                seen = np.searchsorted(word_at, np.append(starts, len(own)))
+                words = np.searchsorted(word_at, ends) - seen[:-1]
                 view = own.tobytes()
-                marks = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                marks = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), "<i8").reshape(-1, 2)
                 first = np.concatenate([[0], np.cumsum(n)])
                 need = np.zeros(len(starts), np.int64)
                 total = np.concatenate([[0], np.cumsum(words)])
@@ -60,8 +61,8 @@ def _lines(min_words: int):
                 pos = np.arange(len(starts)) - np.repeat(first[:-1], n)
                 doc = pa.array([ids[lo + i] for i in range(hi - lo)], pa.int64()).take(pa.array(np.repeat(np.arange(hi - lo), n)))
                 yield pa.RecordBatch.from_arrays(
-                    [doc, pa.array(np.repeat(tie, n)), pa.array(pos.astype(np.int32)), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(need.astype(np.int32))],
-                    ["doc", "tie", "pos", "line", "need"],
+                    [doc, pa.array(np.repeat(tie, n)), pa.array(pos.astype(np.int32)), pa.array(np.ascontiguousarray(marks[:, 0])), pa.array(np.ascontiguousarray(marks[:, 1])), pa.array(need.astype(np.int32))],
+                    ["doc", "tie", "pos", "line", "low", "need"],
                 )
 
     return run
@@ -98,16 +99,16 @@ class SuffixLevels:
 
 
 def suffix_levels(lines: DataFrame) -> SuffixLevels:
-    """Prefix doubling over (g, base, line): global line number, document, line id."""
-    groups = lines.groupBy("line").agg(F.count("*").alias("n"), F.min("g").alias("first")).where("n > 1")
+    """Prefix doubling over (g, base, line, low): global line number, document, line id in two halves."""
+    groups = lines.groupBy("line", "low").agg(F.count("*").alias("n"), F.min("g").alias("first")).where("n > 1")
     groups = materialize(groups, "lines")
     cuts = range_cuts(groups, "line", shuffle_parts(lines.sparkSession))
     groups = groups.withColumn("part", range_bucket(F.col("line"), cuts))
     sums = groups.groupBy("part").agg(F.sum("n").alias("n"))
     sums = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = groups.withColumn("within", within).join(F.broadcast(sums), "part").select("line", "first", (F.col("ahead") + F.col("within") + 1).alias("rank"))
-    levels = [materialize(lines.join(ranks, "line").select("g", "base", "rank", "first"), "level")]
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("line", "low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = groups.withColumn("within", within).join(F.broadcast(sums), "part").select("line", "low", "first", (F.col("ahead") + F.col("within") + 1).alias("rank"))
+    levels = [materialize(lines.join(ranks, ["line", "low"]).select("g", "base", "rank", "first"), "level")]
     step = 1
     while levels[-1].limit(1).count():
         now = levels[-1].select("g", "base", "rank")
@@ -208,14 +209,14 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     An empty table gives an empty result.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    cut = materialize(narrow.mapInArrow(_lines(min_words), "doc long, tie long, pos int, line long, need int"), "cut")
+    cut = materialize(narrow.mapInArrow(_lines(min_words), "doc long, tie long, pos int, line long, low long, need int"), "cut")
     cut = cut.distinct() if narrow.groupBy("doc").count().where("count > 1").limit(1).count() else cut
     numbered = materialize(_numbered(cut), "numbered")
-    again = cut.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
-    lines = cut.join(again, "line", "left_semi")
+    again = cut.groupBy("line", "low").agg(F.count("*").alias("n")).where("n > 1").select("line", "low")
+    lines = cut.join(again, ["line", "low"], "left_semi")
     bases = numbered.withColumnRenamed("doc", "nd").withColumnRenamed("tie", "nt")
     lines = lines.join(bases, lines.doc.eqNullSafe(bases.nd) & (lines.tie == bases.nt))
-    lines = materialize(lines.select((F.col("base") + F.col("pos")).alias("g"), "base", "line", "need"), "repeated")
+    lines = materialize(lines.select((F.col("base") + F.col("pos")).alias("g"), "base", "line", "low", "need"), "repeated")
     runs = repeated_runs(lines, suffix_levels(lines), longest)
     lists = runs.groupBy("base").agg(F.collect_list(F.struct((F.col("g") - F.col("base")).cast("int").alias("at"), F.col("length").cast("int").alias("length"))).alias("runs"))
     lists = materialize(lists.join(numbered, "base").select(F.col("doc").alias("run_doc"), F.col("tie").alias("run_tie"), "runs"), "runs")
