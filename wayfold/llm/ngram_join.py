@@ -14,10 +14,13 @@ Candidates.  Texts with equal sets are one text from the start, named by the sma
 that share a block meet under one key.  Nobody emits all pairs of a key: in each round a key
 names leaders, and every member is checked against these alone.  The links found are closed
 into components, and a key is done when all its members that have not led are in one component.
-The first leader of a key is its first member; later ones are those with the most links, which
-are the texts that copies were made of, so that groups of near copies close in a round or two.
-The number of leaders doubles from round to round, so keys whose members are alike but not
-linked take a logarithmic number of rounds.  A folded 512-bit parity sketch, in the join's
+The first leader of a key is its first member, the next one the member with the most links,
+which is the text that copies were made of, so that groups of near copies close at once.  In
+keys with few members all of them lead then.  Keys with many members that are still apart (texts
+that share a passage, say) are split by the blocks of another, independent hash: linked texts
+agree in a block of any hash, so each pair of them meets again under a key of both blocks, and
+the others part.  What is large after two splits is led by 8, 64, ... members until it is closed.
+A folded 512-bit parity sketch, in the join's
 condition, discards pairs whose Hamming distance already exceeds the bound, and what is left is
 verified on the full shingle sets.
 
@@ -39,6 +42,8 @@ from .components import connected_components
 
 BAND_RATIO = 1.15
 SKETCH_WORDS = 8
+FEW = 64  # members of a key that may all lead
+SPLITS = 2
 _SKETCH = ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
 
 
@@ -254,15 +259,21 @@ def _classes(narrow: DataFrame, n: int, num: int, den: int, known: DataFrame | N
         links = materialize(links.union(side(side(known, "a"), "b").select("a", "b").where("a <> b")).distinct(), "links")
     parts = materialize(connected_components(links), "parts")
 
-    members, leaders = members.select("key", "id"), 1
+    members, hubs, splits, again = members.select("key", "id"), 1, 0, False
     while True:
         members = materialize(_open_members(members, parts, links), "open")
+        if again and splits < SPLITS and members.where(F.col("size") > FEW).limit(1).count():
+            splits += 1
+            apart = materialize(_split(members.where(F.col("size") > FEW), narrow, n, num, den, splits), "split")
+            members = materialize(_open_members(members.where(F.col("size") <= FEW).select("key", "id").union(apart), parts, links), "open")
         if not members.limit(1).count():
             break
-        by_links = Window.partitionBy("key").orderBy(F.desc("degree"), "id")
-        ranked = members.withColumn("rn", F.row_number().over(by_links))
-        chosen = materialize(ranked.where(F.col("rn") <= leaders).select("key", F.col("id").alias("lead"), F.col("part").alias("lead_part")), "leaders")
-        more = _verify(_led_pairs(members, chosen, facts, num, den), sketches, narrow, n, num, den)
+        if splits == SPLITS:
+            hubs *= 8
+        ranked = members.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "id")))
+        ranked = ranked.withColumn("leads", F.col("rn") <= F.when(F.col("size") <= FEW, F.col("size")).otherwise(hubs))
+        ranked = materialize(ranked.select("key", "id", "part", "size", "leads"), "ranked")
+        more = _verify(_led_pairs(ranked, facts, num, den), sketches, narrow, n, num, den)
         if more.limit(1).count():
             links = materialize(links.union(more).distinct(), "links")
             # What was closed stays closed: only components meet.
@@ -273,21 +284,45 @@ def _classes(narrow: DataFrame, n: int, num: int, den: int, known: DataFrame | N
             known_ids = parts.join(merged.toDF("component", "into"), "component", "left").select("id", F.coalesce("into", "component").alias("component"))
             new_ids = merged.join(parts.select("id"), "id", "left_anti")
             parts = materialize(known_ids.union(new_ids.select("id", "component")), "parts")
-        members = members.select("key", "id").join(chosen.select("key", F.col("lead").alias("id")), ["key", "id"], "left_anti")
-        leaders *= 2
+        members, again = ranked.where(~F.col("leads")).select("key", "id"), True
     of_rep = parts.toDF("rep", "component")
     out = made.select("id", "n").join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     return out.join(of_rep, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
 
 
 def _open_members(members: DataFrame, parts: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, id, part, degree): members of keys that are not in one component yet, with their links."""
+    """(key, id, part, degree, size): members of keys that are not in one component yet.
+
+    ``degree`` counts a member's links, ``size`` the key's members.
+    """
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
     known = parts.join(degree, "id", "left").select("id", F.col("component").alias("part"), F.coalesce("degree", F.lit(0)).alias("degree"))
     every = members.join(maybe_broadcast(known, parts.count()), "id", "left").select("key", "id", F.coalesce("part", "id").alias("part"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    every = materialize(every, "every")
-    keys = every.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    return every.join(keys, "key", "left_semi")
+    keys = every.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+    return every.join(keys, "key").select("key", "id", "part", "degree", "size")
+
+
+def _split(members: DataFrame, narrow: DataFrame, n: int, num: int, den: int, turn: int) -> DataFrame:
+    """(key, id): members under keys that also hold a block of the ``turn``-th other hash."""
+    texts = _only(narrow.where("id is not null"), members.select("id").distinct(), "split-ids")
+    blocks = texts.select("id", "text").mapInArrow(_other_keys(n, num, den, turn), "id long, keys array<long>")
+    met = members.select("key", "id").join(blocks, "id").select("key", "id", F.explode("keys").alias("block"))
+    return met.select(F.xxhash64("key", "block").alias("key"), "id")
+
+
+def _other_keys(n: int, num: int, den: int, turn: int):
+    def run(batches):
+        bands, salt = Bands(num, den), np.uint64(0x632BE59BD9B4E019) * np.uint64(turn)
+        for batch in batches:
+            offsets, raw = utf8(batch.column(1))
+            for lo, hi in slices(offsets):
+                sets = shingle_sets(offsets[lo : hi + 1] - offsets[lo], raw[offsets[lo] : offsets[hi]], n)
+                keys = [block_keys(np.sort(mix64(t ^ salt)), bands).view(np.int64) for t in sets]
+                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "keys"])
+
+    return run
 
 
 def _counts(n: int):
@@ -318,11 +353,12 @@ def _near_pairs(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataF
     return pairs.join(_side(facts, "x", "a"), "a").join(_side(facts, "y", "b"), "b").where(_fits(num, den)).select("a", "b")
 
 
-def _led_pairs(members: DataFrame, leaders: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+def _led_pairs(ranked: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of a key's leaders with its members in other components, as far as sketches allow a link."""
-    x = leaders.join(_side(facts, "x", "lead"), "lead")
-    y = members.select(F.col("key").alias("ykey"), "id", "part").join(_side(facts, "y", "id"), "id")
-    j = x.join(y, (F.col("key") == F.col("ykey")) & (F.col("lead_part") != F.col("part")) & _fits(num, den))
+    x = ranked.where("leads").select("key", F.col("id").alias("lead"), F.col("part").alias("lead_part")).join(_side(facts, "x", "lead"), "lead")
+    y = ranked.select(F.col("key").alias("ykey"), "id", "part", "leads").join(_side(facts, "y", "id"), "id")
+    once = ~F.col("leads") | (F.col("lead") < F.col("id"))
+    j = x.join(y, (F.col("key") == F.col("ykey")) & (F.col("lead_part") != F.col("part")) & once & _fits(num, den))
     return j.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
 
 
@@ -349,6 +385,11 @@ def _verify(pairs: DataFrame, sketches: DataFrame, narrow: DataFrame, n: int, nu
 
 
 def _of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The ``rows`` (id, ...) of documents in ``pairs``; their ids are broadcast while few."""
-    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+    """The ``rows`` (id, ...) of documents in ``pairs``."""
+    return _only(rows, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+
+
+def _only(rows: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """The ``rows`` of some ids, which are broadcast while few."""
+    wanted = materialize(ids, label)
     return rows.join(maybe_broadcast(wanted, wanted.count()), "id", "left_semi")
