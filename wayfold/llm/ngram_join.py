@@ -20,7 +20,7 @@ keys with few members all of them lead then.  Keys with many members that are st
 that share a passage, say) are split by the blocks of another, independent hash: linked texts
 agree in a block of any hash, so each pair of them meets again under a key of both blocks, and
 the others part.  What is large after two splits is led by 8, 64, ... members until it is closed.
-A folded 512-bit parity sketch, in the join's
+A folded 256-bit parity sketch, in the join's
 condition, discards pairs whose Hamming distance already exceeds the bound, and what is left is
 verified on the full shingle sets.
 
@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import materialize, maybe_broadcast, mix64, slices, utf8, words_of
 from .components import connected_components
 
-BAND_RATIO = 1.15
-SKETCH_WORDS = 8
+BAND_RATIO = 1.5
+SKETCH_WORDS = 4
 FEW = 64  # members of a key that may all lead
 SPLITS = 2
 _SKETCH = ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
