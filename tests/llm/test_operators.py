@@ -96,13 +96,12 @@ def test_repeated_ids_with_other_texts(spark):
     assert ngram_jaccard_components(documents(spark, rows)).where("doc_id is null and component_id is null").count() == 2
 
 
-@pytest.mark.parametrize(("few", "splits"), [(64, 2), (4, 0)])
-def test_one_key_of_many_unlinked_members(spark, monkeypatch, few, splits):
+@pytest.mark.parametrize("few", [64, 4])
+def test_one_key_of_many_unlinked_members(spark, monkeypatch, few):
     """A common passage gives one key to all texts; some link, most do not, none may be lost."""
     from wayfold.llm import ngram_join
 
     monkeypatch.setattr(ngram_join, "FEW", few)
-    monkeypatch.setattr(ngram_join, "SPLITS", splits)
     rng = random.Random(12)
     passage = [f"p{i}" for i in range(45)]
     rows = [(i, " ".join(passage + [f"u{i}x{j}" for j in range(15)])) for i in range(240)]

@@ -15,14 +15,12 @@ that share a block meet under one key.  Nobody emits all pairs of a key: in each
 names leaders, and every member is checked against these alone.  The links found are closed
 into components, and a key is done when all its members that have not led are in one component.
 The first leader of a key is its first member, the next one the member with the most links,
-which is the text that copies were made of, so that groups of near copies close at once.  In
-keys with few members all of them lead then.  Keys with many members that are still apart (texts
-that share a passage, say) are split by the blocks of another, independent hash: linked texts
-agree in a block of any hash, so each pair of them meets again under a key of both blocks, and
-the others part.  What is large after two splits is led by 8, 64, ... members until it is closed.
-A folded 256-bit parity sketch, in the join's
-condition, discards pairs whose Hamming distance already exceeds the bound, and what is left is
-verified on the full shingle sets.
+which is the text that copies were made of, so that groups of near copies close at once.  Then
+all members of keys with few lead, and 4, 16, ... of those with many, until a key is closed; so a
+key of m members that are alike but not linked (texts that share a passage, say) takes log m
+rounds, and m * m / 2 comparisons of sketches at the most.
+A folded 256-bit parity sketch, in the join's condition, discards pairs whose Hamming distance
+already exceeds the bound, and what is left is verified on the full shingle sets.
 
 Result: one row per document with its component, so copies are never expanded into pairs.
 """
@@ -43,7 +41,6 @@ from .components import connected_components
 BAND_RATIO = 1.5
 SKETCH_WORDS = 4
 FEW = 64  # members of a key that may all lead
-SPLITS = 2
 _SKETCH = ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
 
 
@@ -259,19 +256,14 @@ def _classes(narrow: DataFrame, n: int, num: int, den: int, known: DataFrame | N
         links = materialize(links.union(side(side(known, "a"), "b").select("a", "b").where("a <> b")).distinct(), "links")
     parts = materialize(connected_components(links), "parts")
 
-    members, hubs, splits, again = members.select("key", "id"), 1, 0, False
+    members, hubs = members.select("key", "id"), 1
     while True:
         members = materialize(_open_members(members, parts, links), "open")
-        if again and splits < SPLITS and members.where(F.col("size") > FEW).limit(1).count():
-            splits += 1
-            apart = materialize(_split(members.where(F.col("size") > FEW), narrow, n, num, den, splits), "split")
-            members = materialize(_open_members(members.where(F.col("size") <= FEW).select("key", "id").union(apart), parts, links), "open")
         if not members.limit(1).count():
             break
-        if splits == SPLITS:
-            hubs *= 8
+        leaders = F.when(F.col("size") <= FEW, F.col("size")).otherwise(hubs) if hubs > 1 else F.lit(1)
         ranked = members.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "id")))
-        ranked = ranked.withColumn("leads", F.col("rn") <= F.when(F.col("size") <= FEW, F.col("size")).otherwise(hubs))
+        ranked = ranked.withColumn("leads", F.col("rn") <= leaders)
         ranked = materialize(ranked.select("key", "id", "part", "size", "leads"), "ranked")
         more = _verify(_led_pairs(ranked, facts, num, den), sketches, narrow, n, num, den)
         if more.limit(1).count():
@@ -284,7 +276,7 @@ def _classes(narrow: DataFrame, n: int, num: int, den: int, known: DataFrame | N
             known_ids = parts.join(merged.toDF("component", "into"), "component", "left").select("id", F.coalesce("into", "component").alias("component"))
             new_ids = merged.join(parts.select("id"), "id", "left_anti")
             parts = materialize(known_ids.union(new_ids.select("id", "component")), "parts")
-        members, again = ranked.where(~F.col("leads")).select("key", "id"), True
+        members, hubs = ranked.where(~F.col("leads")).select("key", "id"), hubs * 4
     of_rep = parts.toDF("rep", "component")
     out = made.select("id", "n").join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     return out.join(of_rep, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
@@ -302,29 +294,6 @@ def _open_members(members: DataFrame, parts: DataFrame, links: DataFrame) -> Dat
     return every.join(keys, "key").select("key", "id", "part", "degree", "size")
 
 
-def _split(members: DataFrame, narrow: DataFrame, n: int, num: int, den: int, turn: int) -> DataFrame:
-    """(key, id): members under keys that also hold a block of the ``turn``-th other hash."""
-    texts = _only(narrow.where("id is not null"), members.select("id").distinct(), "split-ids")
-    blocks = texts.select("id", "text").mapInArrow(_other_keys(n, num, den, turn), "id long, keys array<long>")
-    met = members.select("key", "id").join(blocks, "id").select("key", "id", F.explode("keys").alias("block"))
-    return met.select(F.xxhash64("key", "block").alias("key"), "id")
-
-
-def _other_keys(n: int, num: int, den: int, turn: int):
-    def run(batches):
-        bands, salt = Bands(num, den), np.uint64(0x632BE59BD9B4E019) * np.uint64(turn)
-        for batch in batches:
-            offsets, raw = utf8(batch.column(1))
-            for lo, hi in slices(offsets):
-                sets = shingle_sets(offsets[lo : hi + 1] - offsets[lo], raw[offsets[lo] : offsets[hi]], n)
-                keys = [block_keys(np.sort(mix64(t ^ salt)), bands).view(np.int64) for t in sets]
-                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "keys"])
-
-    return run
-
-
 def _counts(n: int):
     def run(batches):
         for batch in batches:
@@ -385,11 +354,6 @@ def _verify(pairs: DataFrame, sketches: DataFrame, narrow: DataFrame, n: int, nu
 
 
 def _of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The ``rows`` (id, ...) of documents in ``pairs``."""
-    return _only(rows, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-
-
-def _only(rows: DataFrame, ids: DataFrame, label: str) -> DataFrame:
-    """The ``rows`` of some ids, which are broadcast while few."""
-    wanted = materialize(ids, label)
+    """The ``rows`` (id, ...) of documents in ``pairs``; their ids are broadcast while few."""
+    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
     return rows.join(maybe_broadcast(wanted, wanted.count()), "id", "left_semi")
