@@ -1,19 +1,27 @@
-"""Synthetic days at five levels of randomness, as folds over arrays inside the JVM.
+"""Synthetic days at five levels of randomness, as a fold over each day's stays.
 
-A day's stays are an array; the fold's state is (time, previous activity, stays so far).
+Each choice depends on those before it, so a day is folded in order.  Days are independent:
+a task folds Arrow batches of them, one row a day, without grouping or state between rows.
+(The same fold as nested higher-order functions runs interpreted, at a multiple of the time.)
 Draws are md5 of (user, day, level, step), so any run and partitioning gives the same days.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wayfold.functions.core import DAY_S, uniform
+from wayfold.functions.core import DAY_S
 
 LEVELS = (0.0, 0.25, 0.5, 0.75, 1.0)
 ANCHOR_SHARE = 0.25
-_STAY = "struct<act:string,st:int,et:int>"
+_STAYS = T.ArrayType(T.StructType([T.StructField("act", T.StringType()), T.StructField("st", T.IntegerType()), T.StructField("et", T.IntegerType())]))
+_ARROW_STAYS = pa.list_(pa.struct([("act", pa.string()), ("st", pa.int32()), ("et", pa.int32())]))
 
 
 def check_level(r: float) -> float:
@@ -32,24 +40,24 @@ def habits(histograms: DataFrame, probabilities: DataFrame) -> DataFrame:
     return durations.join(moves, "uid", "full")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def sample_histogram(bars: Column, u: Column, v: Column) -> Column:
+def sample_histogram(bars: list[dict], u: float, v: float) -> float | None:
     """A bin by its share (draw ``u``), then a point in it (draw ``v``)."""
-    total = F.aggregate(bars, F.lit(0).cast("long"), lambda a, b: a + b["n"])
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("at"))
-    step = lambda a, b: F.struct((a["seen"] + b["n"]).alias("seen"), F.when(a["at"].isNull() & (u * total < a["seen"] + b["n"]), b["lo"] + (b["bin"] + v) * b["width"]).otherwise(a["at"]).alias("at"))
-    return F.aggregate(bars, start, step)["at"]
+    total, seen = sum(b["n"] for b in bars), 0
+    for b in bars:
+        seen += b["n"]
+        if u * total < seen:
+            return b["lo"] + (b["bin"] + v) * b["width"]
+    return None
 
 
-def sample_category(options: Column, u: Column) -> Column:
+def sample_category(options: list[dict], u: float) -> str:
     """A ``to_activity`` by its probability, options in sorted order."""
-    start = F.struct(F.lit(0.0).alias("seen"), F.lit(None).cast("string").alias("at"))
-    step = lambda a, b: F.struct((a["seen"] + b["prob"]).alias("seen"), F.when(a["at"].isNull() & (u < a["seen"] + b["prob"]), b["to_activity"]).otherwise(a["at"]).alias("at"))
-    return F.coalesce(F.aggregate(options, start, step)["at"], F.element_at(options, -1)["to_activity"])
+    seen = 0.0
+    for o in options:
+        seen += o["prob"]
+        if u < seen:
+            return o["to_activity"]
+    return options[-1]["to_activity"]
 
 
 def day_bundles(days: DataFrame) -> DataFrame:
@@ -82,99 +90,95 @@ def synthetic_days(days: DataFrame, known: DataFrame | None = None, population:
     """
     for r in levels:
         check_level(r)
-    d = day_bundles(days).withColumn("r", F.explode(F.array(*[F.lit(r) for r in levels])))
-    empty_bars = "map<string,array<struct<bin:int,n:bigint,lo:double,width:double>>>"
-    empty_moves = "map<string,array<struct<to_activity:string,prob:double>>>"
-    if known is None:
-        d = d.withColumn("durations", F.lit(None).cast(empty_bars)).withColumn("moves", F.lit(None).cast(empty_moves))
-    else:
-        d = d.join(known, "uid", "left")
-    if population is None:
-        d = d.withColumn("pool", F.lit(None).cast(empty_moves))
-    else:
-        rows = population.groupBy("from_activity").agg(F.sort_array(F.collect_list(F.struct("to_activity", "prob"))).alias("to"))
-        one = rows.agg(F.map_from_entries(F.collect_list(F.struct("from_activity", "to"))).alias("pool"))  # a row for each activity class
-        d = d.crossJoin(F.broadcast(one))
-    r = F.col("r")
-    moving = any(x > 0 for x in levels)  # at level 0 nothing is drawn
-    u = lambda step, what: F.when(r > 0, uniform(F.lit(seed), "uid", "day_date", "r", step, F.lit(what))) if moving else F.lit(0.0)
-    anchor = F.filter("stays", lambda s: s["stay_seq"] == F.col("anchor_seq"))[0]
-    d = d.withColumn("a", anchor)
-    length = F.greatest(F.lit(1), F.col("a.et") - F.col("a.st"))
-    shift = (ANCHOR_SHARE * r * length).cast("int")
-    move = lambda what: F.when(shift > 0, ((u(F.lit(-1), what) * 2 - 1) * shift).cast("int")).otherwise(0)
-    leads = (F.col("stays")[0]["stay_seq"] == F.col("anchor_seq")) & ~F.col("first_day")
-    d = d.withColumn("pst", F.when(leads, 0).otherwise(F.greatest(F.lit(0), F.least(F.col("a.st") + move("start"), F.lit(DAY_S)))))
-    d = d.withColumn("pet", F.least(F.col("pst") + F.greatest(F.lit(1), length + move("length")), F.lit(DAY_S)).cast("int")).withColumn("pst", F.col("pst").cast("int"))
-
-    # Draws are made once for each stay; inside the folds values are bound once, not repeated.
-    drawn = lambda items: F.transform(items, lambda s: F.struct(s["act"].alias("act"), s["st"].alias("st"), s["et"].alias("et"), u(s["stay_seq"], "keep").alias("keep"), u(s["stay_seq"], "move").alias("move"), u(s["stay_seq"], "bin").alias("bin"), u(s["stay_seq"], "in").alias("in")))
-
-    def chosen(state, s, keep_midnight: bool):
-        if not moving:
-            return F.when((state["t"] == 0) & (s["st"] != 0), "home").otherwise(s["act"]) if keep_midnight else s["act"]
-        options = F.coalesce(F.when(r >= 1, F.try_element_at("pool", state["prev"])), F.try_element_at("moves", state["prev"]))
-        kept = F.when((r <= 0) | (s["keep"] < 1 - r), s["act"]).otherwise(F.coalesce(let(options, lambda x: F.when(x.isNotNull(), sample_category(x, s["move"]))), s["act"]))
-        return F.when(state["t"] == 0, F.when(s["st"] == 0, s["act"]).otherwise("home")).otherwise(kept) if keep_midnight else kept
-
-    def stay(act, st, et):
-        return F.struct(act.alias("act"), st.cast("int").alias("st"), et.cast("int").alias("et"))
-
-    def fold(limit: Column, keep_midnight: bool):
-        def step(state, s):
-            own = s["et"] - s["st"]
-            length = lambda act: F.coalesce(let(F.try_element_at("durations", act), lambda x: F.when(x.isNotNull(), sample_histogram(x, s["bin"], s["in"]))), own.cast("double"))
-            if not moving:
-                return F.when(state["t"] >= limit, state).otherwise(taken(state, F.struct(chosen(state, s, keep_midnight).alias("act"), F.least(state["t"] + own, limit).alias("end"))))
-            made = lambda act: let(F.struct(act.alias("act"), F.least(state["t"] + ((1 - r) * own + r * F.when(r > 0, length(act)).otherwise(0.0)).cast("int"), limit).alias("end")), lambda x: taken(state, x))
-            return F.when(state["t"] >= limit, state).otherwise(let(chosen(state, s, keep_midnight), made))
-
-        def taken(state, x):
-            adds = x["end"] > state["t"]
-            out = F.when(adds, F.concat(state["out"], F.array(stay(x["act"], state["t"], x["end"])))).otherwise(state["out"])
-            return F.struct(x["end"].cast("int").alias("t"), F.when(adds, x["act"]).otherwise(state["prev"]).alias("prev"), out.alias("out"))
-
-        return step
-
-    def state(t, prev, out):
-        return F.struct(t.cast("int").alias("t"), prev.alias("prev"), out.alias("out"))
-
-    first = F.col("stays")[0]["st"]
-    lead_in = F.when((first > 0) & ~F.col("first_day"), F.array(stay(F.lit("home"), F.lit(0), first))).otherwise(F.array().cast(f"array<{_STAY}>"))
-    before = F.filter("stays", lambda s: s["stay_seq"] < F.col("anchor_seq"))
-    after = F.filter("stays", lambda s: s["stay_seq"] > F.col("anchor_seq"))
-    none = F.array().cast(f"array<{_STAY}>")
-    d = d.withColumn("b", F.aggregate(drawn(before), state(first, F.lit("home"), lead_in), fold(F.col("pst"), True))["out"])
-    d = d.withColumn("c", F.aggregate(drawn(after), state(F.col("pet"), F.col("a.act"), none), fold(F.lit(DAY_S), False))["out"])
-    return _stretched(d).select("uid", "day_date", "r", "stays")
-
-
-def _stretched(d: DataFrame) -> DataFrame:
-    """``stays``: those before (b), the anchor, those after (c), made to follow on each other.
-
-    Intermediate arrays are columns of their own, so each is computed once.
-    """
-    inside = lambda x: F.greatest(F.lit(0), F.least(x, F.lit(DAY_S)))
-
-    def chain(items, start):
+    d = day_bundles(days)
+    moving = any(r > 0 for r in levels)  # at level 0 nothing is drawn and habits play no part
+    d = d.join(known, "uid", "left") if known is not None and moving else d.withColumn("durations", F.lit(None).cast("string")).withColumn("moves", F.lit(None).cast("string"))
+    pool: dict[str, list[dict]] = {}
+    if population is not None and moving:
+        for row in population.select("from_activity", "to_activity", "prob").collect():  # a row for two activity classes
+            pool.setdefault(row["from_activity"], []).append(row.asDict())
+        for options in pool.values():
+            options.sort(key=lambda o: (o["to_activity"], o["prob"]))
+    schema = T.StructType([d.schema["uid"], d.schema["day_date"], T.StructField("r", T.DoubleType()), T.StructField("stays", _STAYS)])
+    return d.select("uid", "day_date", "first_day", "anchor_seq", "stays", "durations", "moves").mapInArrow(_fold_days(levels, pool, seed), schema)
+
+
+def _fold_days(levels: tuple[float, ...], pool: dict[str, list[dict]], seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, level, made = [], [], []
+            columns = [c.to_pylist() for c in batch.columns[1:]]
+            names = batch.column(0).to_pylist()
+            for i, (uid, day, first_day, anchor, stays, durations, moves) in enumerate(zip(names, *columns, strict=True)):
+                habits_of = (dict(durations or ()), dict(moves or ()))
+                for r in levels:
+                    at.append(i)
+                    level.append(r)
+                    made.append(fold_day(stays, anchor, first_day, r, *habits_of, pool, f"{seed}|{uid}|{day}|{r}"))
+            rows = pa.array(at, pa.int64())
+            rows_of = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(level, pa.float64()), pa.array([[{"act": a, "st": s, "et": e} for a, s, e in x] for x in made], _ARROW_STAYS)]
+            yield pa.RecordBatch.from_arrays(rows_of, ["uid", "day_date", "r", "stays"])
+
+    return run
+
+
+def fold_day(stays: list[dict], anchor_seq: int, first_day: bool, r: float, durations: dict, moves: dict, pool: dict, key: str) -> list[tuple[str, int, int]]:
+    """One day at one level: (activity, start, end) in seconds of the day, see :func:`synthetic_days`."""
+
+    def u(step: int, what: str) -> float:
+        return int(hashlib.md5(f"{key}|{step}|{what}".encode()).hexdigest()[:8], 16) / 4_294_967_296.0
+
+    a = next(s for s in stays if s["stay_seq"] == anchor_seq)
+    length = max(1, a["et"] - a["st"])
+    shift = int(ANCHOR_SHARE * r * length)
+    move = lambda what: int((u(-1, what) * 2 - 1) * shift) if shift > 0 else 0
+    leads = stays[0]["stay_seq"] == anchor_seq and not first_day
+    begin = 0 if leads else max(0, min(a["st"] + move("start"), DAY_S))
+    end = min(begin + max(1, length + move("length")), DAY_S)
+
+    def fold(items: list[dict], t: int, prev: str, limit: int, out: list[tuple[str, int, int]], from_midnight: bool) -> None:
+        for s in items:
+            if t >= limit:
+                return
+            seq, act, own = s["stay_seq"], s["act"], s["et"] - s["st"]
+            if from_midnight and t == 0:
+                act = act if s["st"] == 0 else "home"
+            elif r > 0 and u(seq, "keep") >= 1 - r:
+                options = (pool.get(prev) if r >= 1 else None) or moves.get(prev)
+                act = sample_category(options, u(seq, "move")) if options else act
+            took = own
+            if r > 0:
+                bars = durations.get(act)
+                drawn = sample_histogram(bars, u(seq, "bin"), u(seq, "in")) if bars else None
+                took = int((1 - r) * own + r * (own if drawn is None else drawn))
+            stop = min(t + took, limit)
+            if stop > t:
+                out.append((act, t, stop))
+                prev = act
+            t = stop
+
+    first = stays[0]["st"]
+    before: list[tuple[str, int, int]] = [("home", 0, first)] if first > 0 and not first_day else []
+    after: list[tuple[str, int, int]] = []
+    fold([s for s in stays if s["stay_seq"] < anchor_seq], first, "home", begin, before, True)
+    fold([s for s in stays if s["stay_seq"] > anchor_seq], end, a["act"], DAY_S, after, False)
+
+    def chain(items: list[tuple[str, int, int]], start: int | None) -> list[tuple[str, int, int]]:
         """Each stay starts where the one before ended."""
+        out: list[tuple[str, int, int]] = []
+        for act, st, et in items:
+            at = out[-1][2] if out else st if start is None else start
+            out.append((act, at, max(at, max(0, min(et, DAY_S)))))
+        return out
 
-        def step(out, s):
-            begin = F.coalesce(F.try_element_at(out, F.lit(-1))["et"], start, s["st"])
-            return let(begin, lambda x: F.concat(out, F.array(F.struct(s["act"].alias("act"), x.cast("int").alias("st"), F.greatest(x, inside(s["et"])).cast("int").alias("et")))))
-
-        return F.aggregate(items, F.array().cast(f"array<{_STAY}>"), step)
-
-    named = lambda s, et: F.struct(s["act"].alias("act"), s["st"].alias("st"), et.alias("et"))
     # A stay that starts behind the anchor sorts behind it (a home before an anchor moved to 0 sorts first).
-    d = d.withColumn("early", F.filter("b", lambda s: s["st"] <= F.col("pst"))).withColumn("late", F.filter("b", lambda s: s["st"] > F.col("pst")))
-    d = d.withColumn("first_half", chain(F.col("early"), F.when(F.col("first_day"), F.lit(None).cast("int")).otherwise(F.lit(0))))
-    d = d.withColumn("second_half", chain(F.concat("late", "c"), F.col("pet")))
-    # The last stay before the anchor ends with the anchor's start, earlier or later than it did.
-    joined = F.transform("first_half", lambda s, i: named(s, F.when(i == F.size("early") - 1, F.col("pst")).otherwise(s["et"])))
-    anchor = F.array(F.struct(F.col("a.act").alias("act"), F.col("pst").alias("st"), F.col("pet").alias("et")))
-    d = d.withColumn("whole", F.concat(joined, anchor, "second_half"))
-    return d.withColumn("stays", F.transform("whole", lambda s, i: named(s, F.when((i == F.size("whole") - 1) & (F.size("second_half") > 0), F.lit(DAY_S)).otherwise(s["et"]))))
+    head = chain([s for s in before if s[1] <= begin], None if first_day else 0)
+    tail = chain([s for s in before if s[1] > begin] + after, end)
+    if head:  # the last stay before the anchor ends with its start, earlier or later than it did
+        head[-1] = (*head[-1][:2], begin)
+    if tail:
+        tail[-1] = (*tail[-1][:2], DAY_S)
+    return [*head, (a["act"], begin, end), *tail]
 
 
 def leg_retimes(legs: DataFrame) -> DataFrame:
