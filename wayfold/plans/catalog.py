@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import core
 from wayfold.operators import compare, grid, mapping, maps, route, segment, spatial, stays, timeline, trajectory
+from wayfold.operators.steps import settle
 from wayfold.sources import cities, raster, testbed
 
 from . import oracle as o
@@ -41,7 +42,8 @@ def _stats(spark, d):
 
 
 def _celled(spark, d):
-    return grid.with_cells(_stats(spark, d))
+    # The reference point and the cells both read the statistics, a row for each trip: written once.
+    return grid.with_cells(settle(_stats(spark, d), "stats"))
 
 
 def _labels(spark, d):
