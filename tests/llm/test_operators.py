@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from wayfold.llm import chat, mixing, mjpeg, quality, sstable, warc
+from wayfold.llm import chat, common, mixing, mjpeg, ngram_join, quality, sstable, warc
 from wayfold.llm.components import connected_components
 from wayfold.llm.fingerprint import canonical, edited_fingerprints, exact_fingerprints
 from wayfold.llm.ngram_join import ngram_jaccard_components, sketch_distance, wide_sketch
@@ -591,3 +591,26 @@ def test_added_tokens_in_texts_are_what_the_library_makes_of_them():
     for text, ids in zip(texts, coder.encode(texts, 2), strict=True):
         assert np.frombuffer(ids, coder.kind).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
     assert 50256 in np.frombuffer(coder.encode(texts, 2)[0], coder.kind)
+
+
+def test_pairs_of_many_keys_leave_the_join_about_once(spark):
+    draw = random.Random(3)
+    rows = [(key, i, i, 40, draw.random() < 0.5) for key in range(300) for i in draw.sample(range(12), 9)]
+    ranked = spark.createDataFrame(rows, "key long, id long, part long, size long, leads boolean")
+    facts = spark.createDataFrame([(i, 100, 0, 0, 0, 0) for i in range(12)], "id long, n long, s0 long, s1 long, s2 long, s3 long")
+    met = facts.join(ngram_join._smallest_keys(ranked), "id")
+    got = [tuple(r) for r in ngram_join._led_rows(ranked, met, 85, 100).collect()]
+    by_key = {}
+    for key, i, _, _, leads in rows:
+        by_key.setdefault(key, []).append((i, leads))
+    want = [(min(x, y), max(x, y)) for m in by_key.values() for x, leads in m if leads for y, too in m if x != y and (x < y or not too)]
+    assert set(got) == set(want) and len(want) > 5000 and len(got) < 0.1 * len(want)
+
+
+def test_tables_of_ended_rounds_are_deleted(spark):
+    texts = [" ".join(f"w{i}" if i < 60 else f"t{d}x{i}" for i in range(120)) for d in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = set(common._WRITTEN)
+    assert ngram_join.ngram_jaccard_components(docs).where("doc_id <> component_id").count() == 0
+    left = {path.rpartition("/")[2].rpartition("-")[0] for path in set(common._WRITTEN) - known}
+    assert not left & {"near", "doubt", "sets", "wanted", "open", "ranked", "met"}

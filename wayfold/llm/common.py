@@ -8,6 +8,7 @@ with the corpus reaches the driver.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import tempfile
 import uuid
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 WORD = r"[^\x20\x09-\x0D]+"
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,19 +47,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wayfold/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
 
 
-def forget_written() -> None:
-    """Delete the tables that :func:`materialize` wrote; results that still read them end."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` returned, once nothing reads them any more."""
+    for made in tables:
+        _delete(made.written_to)
+
+
+def _delete(path: str) -> None:
+    if spark := _WRITTEN.pop(path, None):
+        with contextlib.suppress(Exception):  # the session may be gone at exit
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001 - the session may be gone at exit
-            continue
+
+
+def forget_written() -> None:
+    """Delete the tables that :func:`materialize` wrote; results that still read them end."""
+    for path in list(_WRITTEN):
+        _delete(path)
 
 
 atexit.register(forget_written)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = materialize(pairs, "cc")
     before = None
     for _ in range(max_rounds):
-        pairs = materialize(_small_star(_large_star(pairs)), "cc")
+        last, pairs = pairs, materialize(_small_star(_large_star(pairs)), "cc")
+        discard(last)
         mark = pairs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
         if mark == before or not mark["n"]:
             break

@@ -19,6 +19,10 @@ which is the text that copies were made of, so that groups of near copies close
 all members of keys with few lead, and 4, 16, ... of those with many, until a key is closed; so a
 key of m members that are alike but not linked (texts that share a passage, say) takes log m
 rounds, and m * m / 2 comparisons of sketches at the most.
+Texts that share a passage meet under many keys of one round.  Each brings the smallest keys in
+which it leads and in which it is a member (``SMALLEST`` of each), and a pair is left to the
+smallest key that both show, so it leaves the join once instead of once a key; a pair that
+shows none in common leaves it at each of its keys.
 A folded 256-bit parity sketch, in the join's condition, discards pairs whose Hamming distance
 already exceeds the bound, and what is left is verified on the full shingle sets.
 
@@ -35,12 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, mix64, slices, utf8, words_of
+from .common import discard, materialize, maybe_broadcast, mix64, slices, utf8, words_of
 from .components import connected_components
 
 BAND_RATIO = 1.5
 SKETCH_WORDS = 4
 FEW = 64  # members of a key that may all lead
+SMALLEST = 8  # keys of a round that a text shows to its partners
 _SKETCH = ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
 
 
@@ -240,6 +245,7 @@ def _classes(narrow: DataFrame, n: int, num: int, den: int, known: DataFrame | N
     firsts = materialize(some.groupBy("n", "mark").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "firsts")
     copies = some.select("id", "n", "mark").join(firsts.where("copies > 1").select("n", "mark", "rep"), ["n", "mark"])
     copies = materialize(copies.where("id <> rep").select("id", "rep"), "copies")
+    discard(firsts)
     few = maybe_broadcast(copies.select("id"), copies.count())
     reps = some.join(few, "id", "left_anti")
     facts, sketches = reps.drop("keys", "wide", "mark"), reps.select("id", "n", "wide")
@@ -250,23 +256,30 @@ def _classes(narrow: DataFrame, n: int, num: int, den: int, known: DataFrame | N
     members = materialize(led.where("id <> lead"), "members")
     pairs = members.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = _verify(_near_pairs(pairs, facts, num, den), sketches, narrow, n, num, den)
+    first_pass = members
     if known is not None:  # links to a copy are links to what stands for it
         named = copies.withColumnRenamed("id", "x")
         side = lambda df, c: df.join(named.withColumnRenamed("x", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
         links = materialize(links.union(side(side(known, "a"), "b").select("a", "b").where("a <> b")).distinct(), "links")
     parts = materialize(connected_components(links), "parts")
 
-    members, hubs = members.select("key", "id"), 1
+    members, hubs, spent = members.select("key", "id"), 1, [first_pass]
     while True:
-        members = materialize(_open_members(members, parts, links), "open")
-        if not members.limit(1).count():
+        opened = materialize(_open_members(members, parts, links), "open")
+        discard(*spent)
+        spent = [opened]
+        if not opened.limit(1).count():
             break
         leaders = F.when(F.col("size") <= FEW, F.col("size")).otherwise(hubs) if hubs > 1 else F.lit(1)
-        ranked = members.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "id")))
-        ranked = ranked.withColumn("leads", F.col("rn") <= leaders)
-        ranked = materialize(ranked.select("key", "id", "part", "size", "leads"), "ranked")
-        more = _verify(_led_pairs(ranked, facts, num, den), sketches, narrow, n, num, den)
+        numbered = opened.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "id")))
+        numbered = numbered.withColumn("leads", F.col("rn") <= leaders)
+        ranked = materialize(numbered.select("key", "id", "part", "size", "leads"), "ranked")
+        met = materialize(facts.join(_smallest_keys(ranked), "id"), "met")
+        more = _verify(_led_rows(ranked, met, num, den).distinct(), sketches, narrow, n, num, den)
+        discard(met)
+        spent += [ranked, more]
         if more.limit(1).count():
+            spent += [links, parts]
             links = materialize(links.union(more).distinct(), "links")
             # What was closed stays closed: only components meet.
             named = parts.select("id", "component")
@@ -276,7 +289,9 @@ def _classes(narrow: DataFrame, n: int, num: int, den: int, known: DataFrame | N
             known_ids = parts.join(merged.toDF("component", "into"), "component", "left").select("id", F.coalesce("into", "component").alias("component"))
             new_ids = merged.join(parts.select("id"), "id", "left_anti")
             parts = materialize(known_ids.union(new_ids.select("id", "component")), "parts")
+            discard(merged)
         members, hubs = ranked.where(~F.col("leads")).select("key", "id"), hubs * 4
+    discard(*spent, links)
     of_rep = parts.toDF("rep", "component")
     out = made.select("id", "n").join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     return out.join(of_rep, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
@@ -294,6 +309,12 @@ def _open_members(members: DataFrame, parts: DataFrame, links: DataFrame) -> Dat
     return every.join(keys, "key").select("key", "id", "part", "degree", "size")
 
 
+def _smallest_keys(ranked: DataFrame) -> DataFrame:
+    """(id, lead_keys, keys): the smallest keys in which a text leads and in which it is a member."""
+    few = lambda c: F.slice(F.sort_array(F.collect_list(c)), 1, SMALLEST)
+    return ranked.groupBy("id").agg(few(F.when(F.col("leads"), F.col("key"))).alias("lead_keys"), few("key").alias("keys"))
+
+
 def _counts(n: int):
     def run(batches):
         for batch in batches:
@@ -308,8 +329,8 @@ def _counts(n: int):
 _FACTS = ["n", *[f"s{i}" for i in range(SKETCH_WORDS)]]
 
 
-def _side(facts: DataFrame, p: str, as_id: str) -> DataFrame:
-    return facts.select(F.col("id").alias(as_id), *[F.col(c).alias(p + c) for c in _FACTS])
+def _side(facts: DataFrame, p: str, as_id: str, *more: str) -> DataFrame:
+    return facts.select(F.col("id").alias(as_id), *[F.col(c).alias(p + c) for c in (*_FACTS, *more)])
 
 
 def _fits(num: int, den: int):
@@ -322,13 +343,17 @@ def _near_pairs(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataF
     return pairs.join(_side(facts, "x", "a"), "a").join(_side(facts, "y", "b"), "b").where(_fits(num, den)).select("a", "b")
 
 
-def _led_pairs(ranked: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a key's leaders with its members in other components, as far as sketches allow a link."""
-    x = ranked.where("leads").select("key", F.col("id").alias("lead"), F.col("part").alias("lead_part")).join(_side(facts, "x", "lead"), "lead")
-    y = ranked.select(F.col("key").alias("ykey"), "id", "part", "leads").join(_side(facts, "y", "id"), "id")
+def _led_rows(ranked: DataFrame, met: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a key's leaders with its members in other components, as far as sketches allow a link.
+
+    ``met`` holds the texts' facts and :func:`_smallest_keys`.  A pair waits for no key but a smaller one that has it too, so its smallest key always gives it.
+    """
+    x = ranked.where("leads").select("key", F.col("id").alias("lead"), F.col("part").alias("lead_part")).join(_side(met, "x", "lead", "lead_keys"), "lead")
+    y = ranked.select(F.col("key").alias("ykey"), "id", "part", "leads").join(_side(met, "y", "id", "keys"), "id")
     once = ~F.col("leads") | (F.col("lead") < F.col("id"))
-    j = x.join(y, (F.col("key") == F.col("ykey")) & (F.col("lead_part") != F.col("part")) & once & _fits(num, den))
-    return j.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
+    here = F.coalesce(F.array_min(F.array_intersect("xlead_keys", "ykeys")) >= F.col("key"), F.lit(True))
+    j = x.join(y, (F.col("key") == F.col("ykey")) & (F.col("lead_part") != F.col("part")) & once & _fits(num, den) & here)
+    return j.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
 
 
 def _within(p, q, distance, num: int, den: int):
@@ -343,17 +368,26 @@ def _verify(pairs: DataFrame, sketches: DataFrame, narrow: DataFrame, n: int, nu
     their sets read again.
     """
     near = materialize(pairs, "near")
-    wide = _of(near, sketches)
+    wanted = _ends(near)
+    wide = _of(wanted, sketches)
     both = near.join(wide.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b")
     doubt = materialize(both.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_near(num, den), "a long, b long"), "doubt")
+    discard(near, wanted)
     if not doubt.limit(1).count():
         return doubt
-    sets = materialize(_of(doubt, narrow.where("id is not null")).select("id", "text").mapInArrow(_sets(n), "id long, tokens binary"), "sets")
+    wanted = _ends(doubt)
+    sets = materialize(_of(wanted, narrow.where("id is not null")).select("id", "text").mapInArrow(_sets(n), "id long, tokens binary"), "sets")
     joined = doubt.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    return materialize(joined.select("a", "b", "ta", "tb").mapInArrow(_linked(num, den), "a long, b long"), "links")
+    links = materialize(joined.select("a", "b", "ta", "tb").mapInArrow(_linked(num, den), "a long, b long"), "links")
+    discard(doubt, wanted, sets)
+    return links
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The ids in ``pairs``, written."""
+    return materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
 
 
-def _of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The ``rows`` (id, ...) of documents in ``pairs``; their ids are broadcast while few."""
-    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+def _of(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``rows`` (id, ...) of ``wanted`` documents; their ids are broadcast while few."""
     return rows.join(maybe_broadcast(wanted, wanted.count()), "id", "left_semi")
