@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import materialize, maybe_broadcast, table
+from wayfold.llm.common import materialize, maybe_broadcast, scratch, table
 from wayfold.llm.linedup import dedup_lines
 from wayfold.llm.mixing import repeat_by_mix
 from wayfold.llm.ngram_join import ngram_jaccard_components
@@ -50,8 +50,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words are in no group and stay, as do rows with a null id; of rows that repeat an id one
     stays, the first by a digest of the text.
     """
-    groups = ngram_jaccard_components(docs, n=5, num=80, den=100)
-    gone = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    with scratch() as keep:
+        groups = ngram_jaccard_components(docs, n=5, num=80, den=100)
+        gone = keep(materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct(), "gone"))
     # Rows travel as one column, so that their own columns may have any names.
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kept = rows.join(maybe_broadcast(gone, gone.count()), F.col("key") == F.col("id"), "left_anti")

@@ -3,6 +3,7 @@
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+common = pytest.importorskip("wayfold.llm.common")
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -43,3 +44,15 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
     ids = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()]
     assert sorted(i for i in ids if i is not None) == list(range(8)) and ids.count(None) == 1
     assert corpus_pipeline.sentencepiece(spark, docs, str(tmp_path)).count() == len(rows)
+
+
+def test_stages_leave_little_behind(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = set(common._WRITTEN)
+    kept = corpus_pipeline.line_dedup(spark, docs, "/root/testdata/sf0.001")
+    left = set(common._WRITTEN) - before
+    assert [path.rpartition("/")[2].rpartition("-")[0] for path in left] == ["runs"]
+    rows = corpus_pipeline.near_dedup(spark, kept, "/root/testdata/sf0.001")
+    left = set(common._WRITTEN) - before - left
+    assert [path.rpartition("/")[2].rpartition("-")[0] for path in left] == ["gone"]
+    assert 0 < rows.count() < kept.count() <= docs.count()

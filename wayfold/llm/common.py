@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ BROADCAST_ROWS = 1_000_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 _WRITTEN: dict[str, SparkSession] = {}
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +50,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/wayfold/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN[path] = spark
+    if (own := _SCRATCH.get()) is not None:
+        own.append(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.written_to = path
     return made
@@ -59,6 +63,29 @@ def discard(*tables: DataFrame) -> None:
         _delete(made.written_to)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables that :func:`materialize` wrote inside, but those passed to what it yields."""
+    kept: list[str] = []
+    outer = _SCRATCH.get()
+    token = _SCRATCH.set([])
+
+    def keep(made: DataFrame) -> DataFrame:
+        kept.append(made.written_to)
+        return made
+
+    try:
+        yield keep
+    finally:
+        own = _SCRATCH.get()
+        _SCRATCH.reset(token)
+        if outer is not None:
+            outer.extend(kept)
+        for path in own:
+            if path not in kept:
+                _delete(path)
+
+
 def _delete(path: str) -> None:
     if spark := _WRITTEN.pop(path, None):
         with contextlib.suppress(Exception):  # the session may be gone at exit

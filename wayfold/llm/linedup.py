@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, range_bucket, range_cuts, shuffle_parts, slices, utf8, words_of
+from .common import materialize, range_bucket, range_cuts, scratch, shuffle_parts, slices, utf8, words_of
 
 MIN_WORDS = 50
 
@@ -208,18 +208,19 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     one document: they keep their rows and lose the same lines.  A null id orders last.
     An empty table gives an empty result.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    cut = materialize(narrow.mapInArrow(_lines(min_words), "doc long, tie long, pos int, line long, low long, need int"), "cut")
-    cut = cut.distinct() if narrow.groupBy("doc").count().where("count > 1").limit(1).count() else cut
-    numbered = materialize(_numbered(cut), "numbered")
-    again = cut.groupBy("line", "low").agg(F.count("*").alias("n")).where("n > 1").select("line", "low")
-    lines = cut.join(again, ["line", "low"], "left_semi")
-    bases = numbered.withColumnRenamed("doc", "nd").withColumnRenamed("tie", "nt")
-    lines = lines.join(bases, lines.doc.eqNullSafe(bases.nd) & (lines.tie == bases.nt))
-    lines = materialize(lines.select((F.col("base") + F.col("pos")).alias("g"), "base", "line", "low", "need"), "repeated")
-    runs = repeated_runs(lines, suffix_levels(lines), longest)
-    lists = runs.groupBy("base").agg(F.collect_list(F.struct((F.col("g") - F.col("base")).cast("int").alias("at"), F.col("length").cast("int").alias("length"))).alias("runs"))
-    lists = materialize(lists.join(numbered, "base").select(F.col("doc").alias("run_doc"), F.col("tie").alias("run_tie"), "runs"), "runs")
+    with scratch() as keep:  # what is left to read is the lists alone
+        narrow = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+        cut = materialize(narrow.mapInArrow(_lines(min_words), "doc long, tie long, pos int, line long, low long, need int"), "cut")
+        cut = cut.distinct() if narrow.groupBy("doc").count().where("count > 1").limit(1).count() else cut
+        numbered = materialize(_numbered(cut), "numbered")
+        again = cut.groupBy("line", "low").agg(F.count("*").alias("n")).where("n > 1").select("line", "low")
+        lines = cut.join(again, ["line", "low"], "left_semi")
+        bases = numbered.withColumnRenamed("doc", "nd").withColumnRenamed("tie", "nt")
+        lines = lines.join(bases, lines.doc.eqNullSafe(bases.nd) & (lines.tie == bases.nt))
+        lines = materialize(lines.select((F.col("base") + F.col("pos")).alias("g"), "base", "line", "low", "need"), "repeated")
+        runs = repeated_runs(lines, suffix_levels(lines), longest)
+        lists = runs.groupBy("base").agg(F.collect_list(F.struct((F.col("g") - F.col("base")).cast("int").alias("at"), F.col("length").cast("int").alias("length"))).alias("runs"))
+        lists = keep(materialize(lists.join(numbered, "base").select(F.col("doc").alias("run_doc"), F.col("tie").alias("run_tie"), "runs"), "runs"))
 
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rest = [F.col(f"`{c}`") for c in columns if c != text_col]
