@@ -4,10 +4,12 @@ import hashlib
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from wayfold.llm import chat, common, mixing, mjpeg, ngram_join, quality, sstable, warc
 from wayfold.llm.components import connected_components
@@ -614,3 +616,43 @@ def test_tables_of_ended_rounds_are_deleted(spark):
     assert ngram_join.ngram_jaccard_components(docs).where("doc_id <> component_id").count() == 0
     left = {path.rpartition("/")[2].rpartition("-")[0] for path in set(common._WRITTEN) - known}
     assert not left & {"near", "doubt", "sets", "wanted", "open", "ranked", "met"}
+
+
+@pytest.mark.parametrize("ordered", [1 << 19, 20])
+def test_texts_with_a_common_passage_meet_by_rare_shingles(spark, monkeypatch, ordered):
+    monkeypatch.setattr(ngram_join, "FEW", 8)
+    monkeypatch.setattr(ngram_join, "ORDERED", ordered, raising=False)
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(45)]
+    rows = [(i, " ".join(passage + [f"u{i}x{j}" for j in range(15)])) for i in range(400)]
+    rows += [(1000 + i, " ".join(passage + [f"u{i}x{j}" for j in range(13)] + ["y", "z"])) for i in rng.sample(range(400), 40)]
+    met, led = [], ngram_join._led_rows
+
+    def counted(ranked, *more):
+        met.append(ranked.groupBy("key").agg((F.count_if("leads") * F.count("*")).alias("c")).agg(F.sum("c")).first()[0])
+        return led(ranked, *more)
+
+    monkeypatch.setattr(ngram_join, "_led_rows", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_components(documents(spark, rows), n=4, num=85, den=100).collect()}
+    assert got == components_by_pairs(rows, 4, 85, 100) and len({c for _, c in got.values()}) == 400
+    assert sum(met[1:]) < 440 * 440 / 8 or ordered < 45  # most of the passage is ordered by hash then
+
+
+def test_rarest_shingles_of_linked_sets_have_one_in_common():
+    draw = np.random.default_rng(8)
+    pool = np.unique(draw.integers(0, 1 << 63, 300, dtype=np.uint64))
+    sets = [np.unique(draw.choice(pool, draw.integers(1, 120))) for _ in range(60)]
+    sets += [np.unique(np.concatenate([s[draw.random(len(s)) < 0.9], draw.choice(pool, len(s) // 12)])) for s in sets]
+    sets.append(np.zeros(0, np.uint64))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "tokens"])
+    for most in (1000, 40):
+        dealt = list(ngram_join._dealt_counts(1)([batch]))
+        top = next(iter(ngram_join._most_common(most)(pa.RecordBatch.from_arrays(b.columns, ["bucket", "tokens", "counts"]) for b in dealt))).to_pylist()[0]
+        known, counts = np.frombuffer(top["tokens"], np.uint64), np.frombuffer(top["counts"], np.int64)
+        assert counts.tolist() == [sum(t in s for s in sets) for t in known] and top["whole"] == (most == 1000)
+        order = np.argsort(known)
+        common = SimpleNamespace(value=(known[order], counts[order], top["whole"]))
+        keys = [set(k) for b in ngram_join._rarest(common, 80, 100)([batch]) for k in b.column(1).to_pylist()]
+        linked = [(i, j) for i, s in enumerate(sets) for j, t in enumerate(sets[:i]) if len(s) and 100 * len(np.intersect1d(s, t)) >= 80 * len(np.union1d(s, t))]
+        assert len(linked) > 20 and all(keys[i] & keys[j] for i, j in linked)
+        assert len(keys) == len(sets) and sum(map(len, keys)) < 0.4 * sum(map(len, sets))

@@ -16,9 +16,12 @@ names leaders, and every member is checked against these alone.  The links found
 into components, and a key is done when all its members that have not led are in one component.
 The first leader of a key is its first member, the next one the member with the most links,
 which is the text that copies were made of, so that groups of near copies close at once.  Then
-all members of keys with few lead, and 4, 16, ... of those with many, until a key is closed; so a
-key of m members that are alike but not linked (texts that share a passage, say) takes log m
-rounds, and m * m / 2 comparisons of sketches at the most.
+all members of keys with few lead.  Members of keys that still hold many share something common
+(a passage, say) and meet by rare shingles instead: in an order of all shingles by their number
+of texts, two linked texts have one in common among the first ``n - ceil(t * n) + 1`` of each, so
+these are their keys from then on, and texts that share no more than a passage have none.  Where such
+a key holds many too, 4, 16, ... lead until it is closed: log m rounds for m members, and m * m / 2
+comparisons of sketches at the most, if m texts share even their rarest shingles and are not linked.
 Texts that share a passage meet under many keys of one round.  Each brings the smallest keys in
 which it leads and in which it is a member (``SMALLEST`` of each), and a pair is left to the
 smallest key that both show, so it leaves the join once instead of once a key; a pair that
@@ -39,13 +42,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, maybe_broadcast, mix64, slices, utf8, words_of
+from .common import discard, materialize, maybe_broadcast, mix64, shuffle_parts, slices, utf8, words_of
 from .components import connected_components
 
 BAND_RATIO = 1.5
 SKETCH_WORDS = 4
 FEW = 64  # members of a key that may all lead
 SMALLEST = 8  # keys of a round that a text shows to its partners
+ORDERED = 1 << 19  # common shingles that are ordered by their number of texts; others come before them
 _SKETCH = ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
 
 
@@ -268,6 +272,11 @@ def _classes(narrow: DataFrame, n: int, num: int, den: int, known: DataFrame | N
         opened = materialize(_open_members(members, parts, links), "open")
         discard(*spent)
         spent = [opened]
+        if hubs == 4 and opened.where(F.col("size") > FEW).limit(1).count():
+            rare = _rare_members(opened.where(F.col("size") > FEW).select("id").distinct(), narrow, n, num, den)
+            opened = materialize(_open_members(opened.where(F.col("size") <= FEW).select("key", "id").union(rare), parts, links), "open")
+            discard(*spent, rare)
+            spent = [opened]
         if not opened.limit(1).count():
             break
         leaders = F.when(F.col("size") <= FEW, F.col("size")).otherwise(hubs) if hubs > 1 else F.lit(1)
@@ -309,6 +318,104 @@ def _open_members(members: DataFrame, parts: DataFrame, links: DataFrame) -> Dat
     return every.join(keys, "key").select("key", "id", "part", "degree", "size")
 
 
+def _rare_members(ids: DataFrame, narrow: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(key, id): the rarest shingles of the texts ``ids``, as many as two linked ones need to share one.
+
+    Shingles are ordered by the number of texts that hold them.  Only the ``ORDERED`` most common
+    ones need their number for that; any order that all texts use is right.
+    """
+    spark = narrow.sparkSession
+    wanted = materialize(ids, "wanted")
+    sets = materialize(_of(wanted, narrow.where("id is not null")).select("id", "text").mapInArrow(_sets(n), "id long, tokens binary"), "sets")
+    parts = shuffle_parts(spark)
+    dealt = sets.mapInArrow(_dealt_counts(parts), "bucket int, tokens binary, counts binary").repartition(parts, "bucket")
+    most = dealt.mapInArrow(_most_common(-(-ORDERED // parts)), "tokens binary, counts binary, whole boolean").collect()
+    tokens = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r.tokens, np.uint64) for r in most]])
+    counts = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r.counts, np.int64) for r in most]])
+    order = np.argsort(tokens)
+    common = spark.sparkContext.broadcast((tokens[order], counts[order], all(r.whole for r in most)))
+    flat = sets.mapInArrow(_rarest(common, num, den), "id long, keys array<long>").select(F.explode("keys").alias("key"), "id")
+    # A key of one text leads to nothing.
+    flat = flat.withColumn("texts", F.count("*").over(Window.partitionBy("key"))).where("texts > 1")
+    made = materialize(flat.select("key", "id"), "rare")
+    common.destroy()
+    discard(wanted, sets)
+    return made
+
+
+def _packed_sets(batches, size: int = 1 << 22):
+    """(ids, ends, tokens) of a few (id, tokens) rows at a time; ``ends`` are the sets' borders, from 0."""
+    for batch in batches:
+        column = batch.column(1).cast(pa.large_binary())
+        sizes = np.array([len(t.as_buffer()) for t in column], np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        for lo, hi in slices(ends, size):
+            tokens = np.frombuffer(b"".join(column[lo:hi].to_pylist()), np.uint64)
+            yield batch.column(0)[lo:hi], (ends[lo : hi + 1] - ends[lo]) // 8, tokens
+
+
+def _dealt_counts(parts: int):
+    """Distinct shingles with their number of texts, many in a row, dealt by hash."""
+
+    def run(batches):
+        for _, _, tokens in _packed_sets(batches):
+            tokens, counts = np.unique(tokens, return_counts=True)
+            bucket = tokens % np.uint64(parts)
+            order = np.argsort(bucket, kind="stable")
+            names, starts = np.unique(bucket[order], return_index=True)
+            cut = lambda x: [v.tobytes() for v in np.split(x[order], starts[1:])]
+            if len(names):
+                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(cut(tokens), pa.binary()), pa.array(cut(counts.astype(np.int64)), pa.binary())], ["bucket", "tokens", "counts"])
+
+    return run
+
+
+def _most_common(most: int):
+    """The shingles of more than one text, at most ``most`` of a partition's, and whether these are all."""
+
+    def run(batches):
+        tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            some = [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(1)]
+            more = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(2)]
+            tokens, at = np.unique(np.concatenate([tokens, *some]), return_inverse=True)
+            total = np.zeros(len(tokens), np.int64)
+            np.add.at(total, at, np.concatenate([counts, *more]))
+            counts = total
+        order = np.flatnonzero(counts > 1)
+        order = order[np.lexsort((tokens[order], -counts[order]))]
+        top = order[:most]
+        if len(tokens):
+            yield pa.RecordBatch.from_arrays([pa.array([tokens[top].tobytes()], pa.binary()), pa.array([counts[top].tobytes()], pa.binary()), pa.array([len(top) == len(order)])], ["tokens", "counts", "whole"])
+
+    return run
+
+
+def _rarest(common, num: int, den: int):
+    """Of each set of m shingles the first m - ceil(num * m / den) + 1, by their number of texts.
+
+    A linked text shares ceil(num * m / den) or more, so the first that both hold is among these
+    in both.  Those that are known to be in no other text take their place and are left out.
+    """
+
+    def run(batches):
+        known, counts, whole = common.value
+        for ids, ends, tokens in _packed_sets(batches):
+            texts = np.zeros(len(tokens), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                texts = np.where(known[at] == tokens, counts[at], 0)
+            sizes = np.diff(ends)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((tokens, texts, row))  # ends stay where they are
+            first = np.arange(len(tokens)) - ends[row] < (sizes - -(-num * sizes // den) + 1)[row]
+            taken = order[first & ((texts[order] > 0) | (not whole))]
+            to = np.concatenate([[0], np.cumsum(np.bincount(row[taken], minlength=len(sizes)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(to), pa.array(tokens[taken].view(np.int64)))], ["id", "keys"])
+
+    return run
+
+
 def _smallest_keys(ranked: DataFrame) -> DataFrame:
     """(id, lead_keys, keys): the smallest keys in which a text leads and in which it is a member."""
     few = lambda c: F.slice(F.sort_array(F.collect_list(c)), 1, SMALLEST)
